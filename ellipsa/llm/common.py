@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ellipsa.session import materialise, read_table, shared_dir
 
-__all__ = ["LOWER", "SPACES", "UPPER", "boxed", "bucket_below", "crc_mod", "lower_az", "materialise", "read_table", "row_key", "shared_dir", "strip_ascii", "unboxed", "words_of"]
+__all__ = ["LOWER", "SPACES", "UPPER", "boxed", "bucket_below", "by_bytes", "crc_mod", "lower_az", "materialise", "read_table", "row_key", "shared_dir", "strip_ascii", "unboxed", "words_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -59,3 +60,16 @@ def unboxed(df: DataFrame, like: DataFrame, made: Sequence[str], replaced: dict[
     taken = {c.lower() for c in made}
     old = [(replaced or {}).get(c, F.col("row").getField(c)).alias(c) for c in like.columns if c.lower() not in taken]
     return df.select(*old, *made)
+
+
+def by_bytes(batch, column: int, most: int = 4 << 20):
+    """Slices of an Arrow record batch whose texts hold about ``most`` bytes each; a longer text is a slice of its own."""
+    sizes = np.asarray(batch.column(column).fill_null("").cast("binary").to_numpy(zero_copy_only=False), dtype=object)
+    total, first = 0, 0
+    for i, text in enumerate(sizes):
+        total += len(text) + 64
+        if total >= most:
+            yield batch.slice(first, i + 1 - first)
+            total, first = 0, i + 1
+    if first < batch.num_rows:
+        yield batch.slice(first)

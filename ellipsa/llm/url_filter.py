@@ -183,6 +183,19 @@ def build_shards(universe: DataFrame, listed: DataFrame, max_bytes: int = MAX_BY
     return [build_cascade(keys if shards == 1 else keys.where(F.pmod(F.col("a"), F.lit(shards)) == s), local_keys) for s in range(shards)]
 
 
+def _judge(sent):
+    @F.arrow_udf("boolean")
+    def judge(a: pa.Array, b: pa.Array) -> pa.Array:
+        tree, mine, n = sent.value
+        flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (a, b)]
+        hit = tree.listed(*flat) & (flat[0] % n == mine)
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        ends = np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        return pa.array(sums[ends] > sums[np.concatenate([[0], ends[:-1]])] if len(ends) else [], pa.bool_())
+
+    return judge
+
+
 def listed_any(df: DataFrame, keys: str, out: str, shards: Sequence[Cascade]) -> DataFrame:
     """``df`` with the boolean ``out``: whether any key of the array column ``keys`` is listed.
 
@@ -190,17 +203,7 @@ def listed_any(df: DataFrame, keys: str, out: str, shards: Sequence[Cascade]) ->
     """
     df = df.withColumns({"_a": F.transform(keys, lambda k: key_hash(k)[0]), "_b": F.transform(keys, lambda k: key_hash(k)[1]), out: F.lit(False)})
     for s, cascade in enumerate(shards):
-        sent = df.sparkSession.sparkContext.broadcast((cascade, s, len(shards)))
-
-        @F.arrow_udf("boolean")
-        def judge(a: pa.Array, b: pa.Array, sent=sent) -> pa.Array:
-            tree, mine, n = sent.value
-            flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (a, b)]
-            hit = tree.listed(*flat) & (flat[0] % n == mine)
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            ends = np.cumsum(np.asarray(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64))
-            return pa.array(sums[ends] > sums[np.concatenate([[0], ends[:-1]])] if len(ends) else [], pa.bool_())
-
+        judge = _judge(df.sparkSession.sparkContext.broadcast((cascade, s, len(shards))))
         df = df.withColumn(out, F.col(out) | judge("_a", "_b"))
         if s + 1 < len(shards):
             df = materialise(df, "url-pass")
