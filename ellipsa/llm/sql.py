@@ -59,3 +59,14 @@ SELECT doc_id, count(*) AS n_lines,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN common USING (key) GROUP BY doc_id
 """
+
+_usable = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+ORACLE["op5_ann"] = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_usable}),
+pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+    sqrt(list_reduce(list_transform(list_zip(q.e, x.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
+SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
