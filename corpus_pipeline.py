@@ -20,8 +20,9 @@ def stage_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list keep."""
     rules = quality_rules.learn_decision_list(quality_rules.labelled_rows(docs, read_table(spark, sf_dir, "labels")))
     judged = quality_rules.apply_rules(docs, rules)
-    # rand() is never negative: it only keeps the optimiser from copying the statistics into the filter, once for each use
-    return judged.withColumn("kept", F.col("kept") & (F.rand(0) >= 0)).where("kept").select(*docs.columns)
+    # the observed count also keeps the optimiser from copying the statistics into the filter, once for each use
+    judged = judged.select(*docs.columns, F.col("kept").alias("_kept")).observe("quality rules", F.count_if("_kept").alias("kept"))
+    return judged.where("_kept").select(*docs.columns)
 
 
 def stage_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
