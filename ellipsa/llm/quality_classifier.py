@@ -20,9 +20,9 @@ from .common import boxed, by_bytes, crc_mod, unboxed
 from .ngrams import hashed
 
 #: The most labelled documents that the model is trained on.
-MAX_LABELLED = 3000
+MAX_LABELLED = 2000
 BITS, LOW, HIGH = 16, 2, 4
-DIM, EPOCHS, RATE = 8, 12, 0.8
+DIM, EPOCHS, RATE = 8, 6, 0.8
 #: Words that a worker remembers; at the bound the table starts anew.
 MAX_WORDS = 300_000
 
