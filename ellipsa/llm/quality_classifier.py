@@ -23,6 +23,8 @@ from .ngrams import hashed
 MAX_LABELLED = 2000
 BITS, LOW, HIGH = 16, 2, 4
 DIM, EPOCHS, RATE = 8, 6, 0.8
+#: Steps at least, so that a small sample is gone through more often.
+STEPS = 6000
 #: Words that a worker remembers; at the bound the table starts anew.
 MAX_WORDS = 300_000
 
@@ -49,6 +51,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim))
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
     rows = [(i, c / c.sum(), y) for (i, c), y in zip(bags, labels, strict=True) if len(i)]
+    epochs = max(epochs, -(-STEPS // max(1, len(rows)))) if rows else 0
     step, steps = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):

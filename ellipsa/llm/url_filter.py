@@ -89,7 +89,7 @@ def _positions(number: int, bits: int, probes: int, a: np.ndarray, b: np.ndarray
 
 def _shape(inside: int, outside: int, first: bool) -> tuple[int, int]:
     """Bits and probes of a level; the first aims at about as many false positives as there are listed keys."""
-    rate = min(0.5, inside * math.sqrt(0.5) / max(1, outside)) if first else 0.5
+    rate = min(0.5, max(1, inside) * math.sqrt(0.5) / max(1, outside)) if first else 0.5
     probes = max(1, math.ceil(math.log2(1 / rate)))
     return max(64, math.ceil(inside * probes * 1.4427 / 64) * 64), probes
 
