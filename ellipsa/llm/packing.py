@@ -25,8 +25,8 @@ from .common import by_bytes, materialise
 MAX_LEN = 4096
 #: Added after each document.
 END_ID = 1
-#: Chunks that a worker remembers; at the bound the table starts anew.
-MAX_CHUNKS = 300_000
+#: Chunks of a worker's table; at the bound a new one begins, which takes from the old one what is met again.
+MAX_CHUNKS = 400_000
 #: Length classes, and documents of a pattern at most.
 CLASSES, PATTERN = 32, 4
 #: Rows of a length that one window sorts, about.
@@ -45,14 +45,17 @@ class ChunkTokenizer:
 
         self.tool = Tokenizer.from_file(path)
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         seen = {c for chunks in split for c in chunks}
         if new := seen - self.chunks.keys():
             if len(self.chunks) + len(new) > MAX_CHUNKS:
-                self.chunks, new = {}, seen
-            listed = list(new)
+                self.chunks, self.older, new = {}, self.chunks, seen
+            known = new & self.older.keys()
+            self.chunks.update((c, self.older[c]) for c in known)
+            listed = list(new - known)
             for k in range(0, len(listed), 4096):
                 found = self.tool.encode_batch(listed[k : k + 4096], add_special_tokens=False)
                 self.chunks.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(listed[k : k + 4096], found, strict=True))
