@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from ellipsa.functions.vectors import constant, dot, squared_distance, squared_norm
 from ellipsa.operators import dataset, em, kmeans
 from ellipsa.operators.model import Mixture, bhattacharyya
-from ellipsa.session import read_table
+from ellipsa.session import read_table, shared_dir
+from ellipsa.sources import binary, models
 
 from .registry import ORACLE, QUERIES, register
 
@@ -598,3 +601,52 @@ def em_lineitem(spark, d):
     return rows(spark, [(k, float(m.weights[k]), m.means[k].tolist()) for k in range(3)], "k int, weight double, mean array<double>")
 
 
+# binary files: each table is written to the shared folder and read again
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, d: str) -> str:
+    path = _file(spark, "vectors")
+    binary.write_vectors(vecs(spark, d), path)
+    return path
+
+
+@register("vecbin_scan", f"SELECT vec_id AS row_id, {R.format('embedding[1]::DOUBLE')} AS x1, {R.format('embedding[64]::DOUBLE')} AS x64 FROM embeddings")
+def vecbin_scan(spark, d):
+    df = dataset.vectors(binary.read_vectors(spark, stored(spark, d)), "row_id", "features")
+    return df.select("row_id", r6(x(1)).alias("x1"), r6(x(64)).alias("x64"))
+
+
+@register("vecbin_range", f"SELECT vec_id AS row_id, {R.format('embedding[2]::DOUBLE')} AS x2 FROM embeddings WHERE vec_id BETWEEN 100 AND 199")
+def vecbin_range(spark, d):
+    df = dataset.vectors(binary.read_vectors(spark, stored(spark, d), 100, 100, 4), "row_id", "features")
+    return df.select("row_id", r6(x(2)).alias("x2"))
+
+
+@register("vecbin_header", "SELECT count(*) AS n_rows, cast(max(len(embedding)) AS integer) AS n_cols FROM embeddings")
+def vecbin_header(spark, d):
+    return rows(spark, [binary.query_header(stored(spark, d))], "n_rows long, n_cols int")
+
+
+@register("class_file", ORACLE["classify"])
+def class_file(spark, d):
+    path = _file(spark, "classes")
+    binary.write_classes(classify(spark, d), path)
+    return binary.read_classes(spark, path)
+
+
+@register("mixture_file", ORACLE["em_sweep"])
+def mixture_file(spark, d):
+    path = _file(spark, "mixture")
+    models.write_mixture(path, one(spark, d)[1])
+    return mixture_rows(spark, models.read_mixture(path)[0])
+
+
+@register("centroid_file", ORACLE["forgy"])
+def centroid_file(spark, d):
+    path = _file(spark, "centroids")
+    models.write_centroids(path, seeds(vecs(spark, d)))
+    return centroid_rows(spark, models.read_centroids(path, K, 64))

@@ -20,6 +20,8 @@ class FormatError(ValueError):
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 

@@ -87,7 +87,7 @@ def test_named_errors_and_tables(spark, blobs):
     assert dataset.layout(df, 7).agg({"n": "sum"}).first()[0] == 450
 
 
-@pytest.mark.parametrize("name", ["column_stats", "classify_dist", "lloyd_step", "em_fit_2d", "posterior_gram", "kmeans_mixture", "det_repair", "partition_layout", "bhatt_2d"])
+@pytest.mark.parametrize("name", ["column_stats", "classify_dist", "lloyd_step", "em_fit_2d", "posterior_gram", "kmeans_mixture", "det_repair", "partition_layout", "bhatt_2d", "vecbin_scan", "vecbin_range", "vecbin_header", "class_file", "mixture_file", "centroid_file"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "lineitem", "events"):
