@@ -23,8 +23,13 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return vectors(binary.read_vectors(spark, path), "row_id", "features")
 
 
-def first_mixture(df: DataFrame, k: int, name: str) -> Mixture:
-    """By the name of a start, or from a mixture file, which must have ``k`` components unless k is 1."""
+def first_mixture(df: DataFrame, k: int, name: str, seed: int = 1) -> Mixture:
+    """By the name of a start, or from a mixture file, which must have ``k`` components unless k is 1.
+
+    The seed is that of K-means||; the other starts pick rows by a hash of their ids.
+    """
+    if name == "kmeansoror":
+        return em.kmeans_start(df, k, "parallel", seed=seed)
     if name in em.STARTS:
         return em.start(df, k, name)
     model, _ = models.read_mixture(name)
@@ -42,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-c", "--components", type=int, default=1)
         p.add_argument("-I", "--init", default=init, help=f"{', '.join(em.STARTS)} or a mixture file")
         p.add_argument("-g", "--regularization", type=float, default=0.0)
+        p.add_argument("-r", "--seed", type=int, default=1)
         p.add_argument("-o", "--output", help="mixture file to write")
     fit.add_argument("-m", "--max-sweeps", type=int, default=1_000_000)
     fit.add_argument("-f", "--eps", type=float, default=1e-5)
@@ -62,7 +68,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.appName("ellipsa").getOrCreate()
     began = time.perf_counter()
     df = load(spark, a.dataset)
-    model = first_mixture(df, a.components, a.init)
+    model = first_mixture(df, a.components, a.init, a.seed)
     report: dict = {"components": model.k, "dimensions": model.d, "start_seconds": round(time.perf_counter() - began, 3)}
     likelihood = 0.0
     if a.command == "start":

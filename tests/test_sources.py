@@ -100,7 +100,7 @@ def test_command_line(spark, tmp_path):
     path, first, last, classes = (str(tmp_path / n) for n in ("x.bin", "first.cmp", "last.cmp", "cls"))
     with open(path, "wb") as f:
         f.write(header_bytes(*x.shape) + x.tobytes())
-    main(["start", path, "-c", "2", "-I", "kmeans", "-g", "0.01", "-o", first], spark)
+    main(["start", path, "-c", "2", "-I", "kmeansoror", "-r", "3", "-g", "0.01", "-o", first], spark)
     report = main(["em", path, "-c", "2", "-I", first, "-m", "20", "-g", "0.01", "-o", last, "-O", classes], spark)
     model, likelihood = models.read_mixture(last)
     assert report["sweeps"] >= 2 and likelihood == report["log_likelihood"] and abs(model.weights - 0.5).max() < 1e-6
