@@ -9,10 +9,12 @@ get ranks by windows over small buckets and take their places by a broadcast ran
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,10 @@ MAX_LEN = 4096
 END_ID = 1
 #: Chunks of a worker's table; at the bound a new one begins, which takes from the old one what is met again.
 MAX_CHUNKS = 600_000
+#: Texts of Latin-1 characters, which are composed and where lower-casing goes character by character, without controls that some take for
+#: white space; marks that end a chunk after a letter.
+LATIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\xff]*").fullmatch
+AFTER_WORD = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])[.,;:!?*#$%&]+(?=\\s|$)")
 #: Length classes, and documents of a pattern at most.
 CLASSES, PATTERN = 32, 4
 #: Rows of a length that one window sorts, about.
@@ -36,8 +42,8 @@ BUCKET = 2048
 class ChunkTokenizer:
     """Token ids by the tokenizers library, remembered by chunk between ASCII blanks.
 
-    For tokenizers that drop white space and split at it, as ``word_bpe_49k.json`` does: a chunk's ids don't depend on
-    its neighbours.
+    For tokenizers that compose, lower-case, drop white space and split there and between letters and marks, as ``word_bpe_49k.json`` does: a
+    chunk's ids don't depend on its neighbours, and Latin-1 texts may be lower-cased and marks taken off words beforehand.
     """
 
     def __init__(self, path: str):
@@ -64,12 +70,20 @@ class ChunkTokenizer:
         for c in other:
             self.chunks[c] = np.array(self.tool.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _split(self, text: str) -> list[str]:
+        low = text.lower()
+        if LATIN(text) and all(low.count(a) == text.count(a) for a in self.added):
+            return AFTER_WORD.sub(r" \g<0>", low).split()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        seen = {c for chunks in split for c in chunks}
-        if new := seen - self.chunks.keys():
+        split = [self._split(t or "") for t in texts]
+        new: set[str] = set()
+        for chunks in split:
+            new.update(filterfalse(self.chunks.__contains__, chunks))
+        if new:
             if len(self.chunks) + len(new) > MAX_CHUNKS:
-                self.chunks, self.older, new = {}, self.chunks, seen
+                self.chunks, self.older, new = {}, self.chunks, {c for chunks in split for c in chunks}
             known = new & self.older.keys()
             self.chunks.update((c, self.older[c]) for c in known)
             self._encode(list(new - known))
