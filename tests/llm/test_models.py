@@ -1,5 +1,6 @@
 """SimHash, BPE, packing, neighbours, classifier, languages and the pipeline against brute force."""
 
+import random
 import zlib
 
 import numpy as np
@@ -228,3 +229,14 @@ def test_pipeline(spark):
             assert kept == [ids[i] for i in sorted(set(label.tolist()))]
         before = after
     assert {r.doc_id for r in out} == {r.doc_id for r in before.collect()}
+
+
+def test_chunks_are_tokenized_as_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tool, whole, pick = packing.ChunkTokenizer(path), Tokenizer.from_file(path), random.Random(5)
+    latin = "aBc\u00e9\u00df\u00c5t's.,;!?*#<>|&$% \n\t\r\x0b\x0c\x1c\x85\xa0\xad12\u00bd\u00aa\u00a1\u00b5\u00d7"
+    texts = ["", None, "<|endoftext|>", "A<|ENDOFTEXT|>b", "don't. DON'T! x<|endoftext|>.", "a" * 5000]
+    for alphabet in (latin, latin + "e\u0301\u0130\u03a3\u03c2\u6f22\u200d\u212b\u0338"):
+        texts += ["".join(pick.choice(alphabet) for _ in range(pick.randint(0, 40))) for _ in range(3000)]
+    for text, ids in zip(texts, tool(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids, repr(text)
