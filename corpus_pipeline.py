@@ -26,8 +26,9 @@ def stage_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, predicts to be good."""
-    model = quality_classifier.train(*quality_classifier.labelled_bags(docs, read_table(spark, sf_dir, "labels")))
+    """Documents that the classifier predicts to be good. It is trained on labelled rows of the whole table, as the rules leave few that are labelled bad."""
+    known = quality_classifier.labelled_bags(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    model = quality_classifier.train(*known)
     return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
