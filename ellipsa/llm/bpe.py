@@ -2,8 +2,9 @@
 
 A word's tokens are proposed by greedy longest match. Whether they are what merging gives is a local matter: they are,
 exactly if each adjacent pair of tokens is compatible, that is if no merge across their border would have come
-before a merge that builds the tokens. The pairs of all new words of a batch are tested at once with numpy; words with a pair that
-fails are merged exactly, lowest rank first. Results are kept by chunk of text, in a bounded table of the worker.
+before a merge that builds the tokens. One pass of an automaton over all new words of a batch proposes; the pairs are tested at
+once with numpy; words with a pair that fails are merged exactly, lowest rank first, many at a time. Results are kept by word and by
+chunk of text, in bounded tables of the worker.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -28,9 +30,13 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Pieces of the pattern never cross these chunks.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Chunks that a worker remembers; at the bound the table starts anew.
-MAX_CHUNKS = 400_000
+#: Entries of each of a worker's tables; at the bound a new one begins, which takes from the old one what is met again.
+MAX_KNOWN = 250_000
+#: Bytes of a word up to which failing words are merged side by side; longer ones go one by one.
+SIDE_BY_SIDE = 48
 _NEVER = np.int64(1) << 40
+#: Parts the words in front of the automaton; no token holds it.
+_PART = "\u0100"
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,6 +46,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Known:
+    """A bounded table in two generations: what isn't met again goes with the older one."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, seen: set) -> list:
+        """Those of ``seen`` that must be computed; from now on all others are in ``new``."""
+        if fresh := seen - self.new.keys():
+            if len(self.new) + len(fresh) > self.most:
+                self.old, self.new, fresh = self.new, {}, seen
+            met = fresh & self.old.keys()
+            self.new.update((x, self.old[x]) for x in met)
+            return list(fresh - met)
+        return []
+
+
 class ByteBpe:
     """The encoder of a byte-level BPE file of the tokenizers library."""
 
@@ -67,13 +90,21 @@ class ByteBpe:
         self.left[made[first]], self.right[made[first]] = left[first], right[first]
         keys = left * size + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], np.arange(len(pairs))[order]
+        self.keys, self.ranks, self.made = keys[order], np.arange(len(pairs))[order], made[order]
+        self.byte_id = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pair = self._lookup(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))[0].reshape(256, 256)
         self.merges = {(a, b): (r, m) for r, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), made.tolist(), strict=True))}
         self._split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._pieces = regex.compile(PATTERN)
-        self.chunks: dict[str, bytes] = {}
+        self._find = regex.compile(PATTERN).findall
+        self.chunks, self.pieces = Known(MAX_KNOWN), Known(MAX_KNOWN)
         self.words: dict[str, int] = {"proposed": 0, "merged": 0}
 
+    def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and token of the merge of each pair; the rank is ``_NEVER`` where there is none."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NEVER), self.made[at]
+
     @cached_property
     def offered(self) -> dict[bytes, int]:
         """Tokens that greedy matching may propose: those that merging their own bytes gives."""
@@ -86,22 +117,21 @@ class ByteBpe:
         return {b: i for b, i in self.ids.items() if reached.get(i, True)}
 
     @cached_property
-    def longest(self) -> dict[bytes, int]:
-        """The longest offered token by its first two bytes."""
-        out: dict[bytes, int] = {}
-        for b in self.offered:
-            out[b[:2]] = max(out.get(b[:2], 1), len(b))
-        return out
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds the longest offered token at a place, then goes on behind it. A byte is a letter of the same number."""
+        found = ahocorasick.Automaton()
+        for b, i in self.offered.items():
+            found.add_word(b.decode("latin-1"), i)
+        found.add_word(_PART, -1)
+        found.make_automaton()
+        return found
 
-    def propose(self, word: bytes) -> list[int]:
-        tokens, longest, out, i, n = self.offered, self.longest, [], 0, len(word)
-        while i < n:
-            k = min(n, i + longest.get(word[i : i + 2], 1))
-            while (t := tokens.get(word[i:k])) is None:
-                k -= 1
-            out.append(t)
-            i = k
-        return out
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words, one word after another, and where each word's tokens end."""
+        text = _PART.join([w.decode("latin-1") for w in words]) + _PART
+        found = np.fromiter((t for _, t in self.automaton.iter_long(text)), np.int64)
+        parts = np.flatnonzero(found < 0)
+        return found[found >= 0], parts - np.arange(len(parts))
 
     def compatible(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens, that no merge across the border comes first.
@@ -116,9 +146,7 @@ class ByteBpe:
         good, open_ = np.ones(len(x), bool), np.arange(len(x))
         while len(open_):
             xs, ys = x[open_], y[open_]
-            key = xs * self.size + ys
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            q = np.where(self.keys[at] == key, self.ranks[at], _NEVER)
+            q, _ = self._lookup(xs, ys)
             clash = (q < until_x[open_]) & (q <= until_y[open_])
             good[open_[clash]] = False
             rx, ry = self.rank[xs], self.rank[ys]
@@ -153,11 +181,45 @@ class ByteBpe:
                 heapq.heappush(heap, (r[0], h, tokens[h], tokens[i]))
         return [t for t in tokens if t >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Each word's tokens: proposed for all, tested together, merged exactly where the test fails."""
-        proposed = [self.propose(w) for w in words]
-        flat = np.fromiter((t for p in proposed for t in p), np.int64)
-        ends = np.cumsum([len(p) for p in proposed], dtype=np.int64)
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of many words, in step: each step does one merge in every word that has one left. The ids come as 32-bit numbers."""
+        out: list = [None] * len(words)
+        order = np.argsort([len(w) for w in words], kind="stable")
+        for k in range(0, len(order), 4096):
+            mine = order[k : k + 4096]
+            sizes, width = np.array([len(words[i]) for i in mine]), len(words[mine[-1]])
+            raw = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in mine]), np.uint8).reshape(len(mine), width)
+            tokens, place = self.byte_id[raw], np.arange(width)
+            ranks = np.full((len(mine), width), _NEVER)
+            ranks[:, :-1] = np.where(place[1:] < sizes[:, None], self.byte_pair[raw[:, :-1], raw[:, 1:]], _NEVER)
+            at, sizes, rows = np.arange(len(mine)), sizes.copy(), mine
+            while True:
+                best = ranks.argmin(axis=1)  # the leftmost of the lowest
+                more = ranks[at, best] < _NEVER
+                done = np.flatnonzero(~more)
+                raw, first = tokens[done].astype("<u4").tobytes(), 4 * width * np.arange(len(done))
+                for i, a, b in zip(rows[done].tolist(), first.tolist(), (first + 4 * sizes[done]).tolist(), strict=True):
+                    out[i] = raw[a:b]
+                if not more.any():
+                    break
+                tokens, ranks, sizes, rows, best = tokens[more], ranks[more], sizes[more] - 1, rows[more], best[more]
+                at = np.arange(len(rows))
+                made = self._lookup(tokens[at, best], tokens[at, best + 1])[1]
+                move = np.minimum(place + (place > best[:, None]), width - 1)
+                tokens, ranks = np.take_along_axis(tokens, move, 1), np.take_along_axis(ranks, move, 1)
+                ranks[:, -1] = _NEVER
+                tokens[at, best] = made
+                left, right = np.flatnonzero(best > 0), np.flatnonzero(best + 1 < sizes)
+                ranks[at, best] = _NEVER
+                ranks[right, best[right]] = self._lookup(made[right], tokens[right, best[right] + 1])[0]
+                ranks[left, best[left] - 1] = self._lookup(tokens[left, best[left] - 1], made[left])[0]
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as 32-bit numbers: proposed for all, tested together, merged exactly where the test fails."""
+        if not words:
+            return []
+        flat, ends = self.propose(words)
         border = np.ones(len(flat), bool)
         border[ends - 1] = False  # no pair starts at a word's last token
         at = np.flatnonzero(border)
@@ -165,23 +227,27 @@ class ByteBpe:
         good = self.compatible(keys // self.size, keys % self.size)
         bad = np.zeros(len(words), bool)
         bad[np.searchsorted(ends, at[~good[where]], side="right")] = True
-        for i in np.flatnonzero(bad):
-            proposed[i] = self.merge(words[i])
+        raw, cuts = flat.astype("<u4").tobytes(), (4 * ends).tolist()
+        out = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        failed = np.flatnonzero(bad).tolist()
+        short = [i for i in failed if len(words[i]) <= SIDE_BY_SIDE]
+        for i, found in zip(short, self.merge_all([words[i] for i in short]), strict=True):
+            out[i] = found
+        for i in failed:
+            if len(words[i]) > SIDE_BY_SIDE:
+                out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
         self.words["proposed"] += len(words)
-        self.words["merged"] += int(bad.sum())
-        return proposed
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        new = list(chunks)
-        if len(self.chunks) + len(new) > MAX_CHUNKS:
-            self.chunks = {}
-        pieces = [[p.encode() for p in self._pieces.findall(c)] for c in new]
-        flat = self.encode_words([p for ps in pieces for p in ps])
-        k = 0
-        for chunk, ps in zip(new, pieces, strict=True):
-            ids = [t for word in flat[k : k + len(ps)] for t in word]
-            k += len(ps)
-            self.chunks[chunk] = np.array(ids, "<u4").tobytes()
+        self.words["merged"] += len(failed)
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """The ids of new chunks, put together from their words; only words that aren't known are encoded."""
+        split = [self._find(c) for c in chunks]
+        new = self.pieces.missing({p for ps in split for p in ps})
+        for some in (new[k : k + (1 << 16)] for k in range(0, len(new), 1 << 16)):
+            self.pieces.new.update(zip(some, self.encode_words([p.encode() for p in some]), strict=True))
+        get = self.pieces.new.__getitem__
+        self.chunks.new.update((c, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for c, ps in zip(chunks, split, strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers; null is empty."""
@@ -189,14 +255,32 @@ class ByteBpe:
         for text in texts:
             parts = self._split_special.split(text or "") if self._split_special else [text or ""]
             split.append([self.special[p] if i % 2 else _CHUNK.findall(p) for i, p in enumerate(parts)])
-        seen = {c for parts in split for p in parts if isinstance(p, list) for c in p}
-        if new := seen - self.chunks.keys():
-            if len(self.chunks) + len(new) > MAX_CHUNKS:
-                new = seen
+        seen: set[str] = set()
+        for parts in split:
+            for p in parts:
+                if isinstance(p, list):
+                    seen.update(p)
+        if new := self.chunks.missing(seen):
             self._learn(new)
-        get = self.chunks.__getitem__
+        get = self.chunks.new.__getitem__
         return [b"".join([b"".join(map(get, p)) if isinstance(p, list) else np.array([p], "<u4").tobytes() for p in parts]) for parts in split]
 
+    @cached_property
+    def _token_bytes(self) -> pa.Array:
+        return pa.array(self.bytes, pa.large_binary())
+
+    def decode_batch(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of consecutive runs of ids, ``ends`` (from 0) apart: the tokens' bytes laid end to end and cut."""
+        joined = self._token_bytes.take(pa.array(ids))
+        starts = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(ids) + 1]
+        cuts = (starts[ends] - starts[0]) if len(ids) else np.zeros(len(ends), np.int64)
+        data = joined.buffers()[2]
+        whole = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts + (starts[0] if len(ids) else 0)).tobytes()), data if data is not None else pa.py_buffer(b"")])
+        try:
+            return whole.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that aren't UTF-8
+            return pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -220,9 +304,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 encoded = tool.encode_batch(piece.column(1).to_pylist())
                 ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
-                listed = ids.tolist()
-                decoded = [tool.decode(listed[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), tool.decode_batch(ids, ends)], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(part, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
