@@ -1,10 +1,11 @@
 """Packing of tokenized documents into sequences of bounded length.
 
-Only the histogram of piece lengths, at most ``max_len`` numbers, reaches the driver. Length classes
-are combined to patterns of few documents; non-negative least squares fits how often each pattern is repeated; the rounded repeats are
-filled with exact lengths, each sequence closed by the longest lengths that still fit, and what remains is packed best-fit,
-longest first. The plan says, for each length, which of its pieces (by rank) go to which sequences and offsets; pieces
-get ranks by windows over small buckets and take their places by a broadcast range join. No text and no token is shuffled.
+Only the histogram of piece lengths, at most ``max_len`` numbers, reaches the driver. Patterns of few documents, of exact lengths where few
+lengths are in use and of length classes otherwise, are enumerated if they can fill a sequence; non-negative least squares fits
+how often each is repeated; the rounded repeats are filled with the exact lengths that fill a sequence best, in several rounds, each fitted to what the
+rounds before left. What remains is packed best-fit, longest first, and so is the room that a pattern leaves. The plan says, for each length, which of
+its pieces (by rank) go to which sequences and offsets; pieces get ranks by windows over small buckets and take their places by a
+broadcast range join. No text and no token is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import filterfalse
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, materialise
+from .common import boxed, by_bytes, materialise, unboxed
 
 MAX_LEN = 4096
 #: Added after each document.
@@ -33,8 +34,11 @@ MAX_CHUNKS = 600_000
 #: white space; marks that end a chunk after a letter.
 LATIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\xff]*").fullmatch
 AFTER_WORD = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])[.,;:!?*#$%&]+(?=\\s|$)")
-#: Length classes, and documents of a pattern at most.
-CLASSES, PATTERN = 32, 4
+#: Length classes, exact lengths that are used instead where there are no more, and documents of a pattern at most.
+CLASSES, EXACT, PATTERN = 64, 24, 4
+#: Settings that are tried; the plan of fewest sequences counts. Each: the shortest length of a pattern, as a share of a sequence (shorter pieces close
+#: sequences), and for each round of fitting the share of a sequence that a pattern may leave open.
+SETTINGS = ((1 / 3, (0.0, 0.0)), (1 / 16, (0.0, 0.0, 0.0, 0.0, 0.002, 0.005, 0.01, 0.02, 0.03)), (1 / 16, (0.0, 0.0, 0.002)))
 #: Rows of a length that one window sorts, about.
 BUCKET = 2048
 
@@ -128,12 +132,12 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     """x >= 0 of least |a x - b|, by the active-set method of Lawson and Hanson."""
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    gram, target = a.T @ a, a.T @ b
-    for _ in range(3 * a.shape[1]):
-        slope = target - gram @ x
+    limit = tolerance * max(1.0, np.abs(a.T @ b).max(initial=0.0))
+    for _ in range(3 * min(a.shape)):
+        slope = a.T @ (b - a @ x)
         slope[free] = -np.inf
         j = int(np.argmax(slope))
-        if slope[j] <= tolerance * max(1.0, np.abs(target).max()):
+        if slope[j] <= limit:
             break
         free[j] = True
         while True:
@@ -154,40 +158,72 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     return x
 
 
-def _patterns(total: int, parts: int, most: int | None = None) -> Iterator[tuple[int, ...]]:
-    """Classes, largest first, that add up to ``total``, at most ``parts`` of them."""
-    most = total if most is None else most
-    if total == 0:
-        yield ()
-    elif parts:
-        for c in range(min(total, most), 0, -1):
-            for rest in _patterns(total - c, parts - 1, c):
-                yield (c, *rest)
-
-
-def fit_patterns(counts: np.ndarray, max_len: int, classes: int = CLASSES, parts: int = PATTERN) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of length classes and their whole repeats. ``counts[n]``: pieces of length n."""
-    width = -(-max_len // classes)
-    by_class = np.zeros(classes + 1)
-    np.add.at(by_class, -(-np.arange(len(counts)) // width), counts)
-    patterns = list(_patterns(classes, parts))
-    a = np.zeros((classes, len(patterns)))
+def _patterns(low: Sequence[int], high: Sequence[int], least: int, most: int, parts: int) -> Iterator[tuple[int, ...]]:
+    """Non-increasing tuples of up to ``parts`` class numbers whose lengths, each from ``low`` to ``high``, can add up to ``least`` to ``most``."""
+
+    def grow(chosen: tuple[int, ...], at_least: int, at_most: int) -> Iterator[tuple[int, ...]]:
+        if chosen and at_most >= least:
+            yield chosen
+        if len(chosen) < parts:
+            for c in range(chosen[-1] if chosen else len(low) - 1, -1, -1):
+                # the rest can't be longer than this one
+                if at_least + low[c] <= most and at_most + (parts - len(chosen)) * high[c] >= least:
+                    yield from grow((*chosen, c), at_least + low[c], at_most + high[c])
+
+    yield from grow((), 0, 0)
+
+
+def fit_patterns(counts: np.ndarray, max_len: int, open_share: float = 0.0, shortest: float = 1 / 16, classes: int = CLASSES, exact: int = EXACT, parts: int = PATTERN) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns and their whole repeats. ``counts[n]``: pieces of length n. A pattern is a list of (shortest, longest) lengths."""
+    lengths = np.flatnonzero(counts)
+    lengths = lengths[lengths >= shortest * max_len]
+    if not len(lengths):
+        return []
+    if len(lengths) <= exact:
+        low = high = lengths.tolist()
+    else:
+        width = max(1, max_len // classes)
+        used = np.unique((lengths - 1) // width)
+        low, high = (used * width + 1).tolist(), np.minimum((used + 1) * width, max_len).tolist()
+    patterns = list(_patterns(low, high, int(np.ceil(max_len * (1 - open_share))), max_len, parts))
+    if not patterns:
+        return []
+    a = np.zeros((len(low), len(patterns)))
     for j, p in enumerate(patterns):
         for c in p:
-            a[c - 1, j] += 1
-    # short documents fit anywhere, so what the patterns leave of them weighs less
-    weight = np.sqrt(np.arange(1, classes + 1) / classes)
-    scale = max(1.0, by_class.max())
-    repeats = np.floor(nnls(a * weight[:, None], by_class[1:] * weight / scale) * scale).astype(np.int64)
-    return [(p, int(r)) for p, r in zip(patterns, repeats, strict=True) if r]
+            a[c, j] += 1
+    held = np.array([counts[x : y + 1].sum() for x, y in zip(low, high, strict=True)], float)
+    # a pattern of classes is full on average if their middles add up to a sequence: one more equation, of little weight
+    middles = (np.array(low) + np.array(high)) / 2
+    off = np.abs(middles @ a - max_len) / max_len
+    weight = np.sqrt(middles / max_len)  # short documents fit anywhere, so what the patterns leave of them weighs less
+    scale = max(1.0, held.max())
+    repeats = nnls(np.vstack([a * weight[:, None], off]), np.append(held * weight / scale, 0.0)) * scale
+    return [([(low[c], high[c]) for c in patterns[j]], max(1, int(repeats[j]))) for j in np.argsort(-repeats, kind="stable") if repeats[j] > 0.5]
 
 
-def plan_packing(counts: np.ndarray, max_len: int = MAX_LEN) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(how many sequences, [(length, pieces of it), ...]) until every piece of the histogram has a place."""
+def plan_packing(counts: np.ndarray, max_len: int = MAX_LEN, report: dict | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(how many sequences, [(length, pieces of it), ...]) until every piece of the histogram has a place: the best of several settings.
+
+    ``report`` gets the number of pieces that patterns placed. Each run uses up a length or a pattern, so the plan is bounded by ``max_len``.
+    """
+    least, tried = -(-int(np.arange(len(counts)) @ np.asarray(counts, np.int64)) // max_len), []
+    for setting in SETTINGS:
+        plan, placed = _plan(counts, max_len, *setting)
+        tried.append((sum(run for run, _ in plan), placed, plan))
+        if tried[-1][0] <= least:
+            break
+    _, placed, plan = min(tried, key=lambda t: t[0])
+    if report is not None:
+        report["by_patterns"] = placed
+    return plan
+
+
+def _plan(counts: np.ndarray, max_len: int, shortest: float, rounds: Sequence[float]) -> tuple[list[tuple[int, list[tuple[int, int]]]], int]:
     left = np.asarray(counts, np.int64).copy()
-    width = -(-max_len // CLASSES)
     lengths = np.flatnonzero(left).tolist()  # those not used up
     plan: list[tuple[int, list[tuple[int, int]]]] = []
+    placed = 0
 
     def emit(start: list[int], most: int) -> int:
         """One run of equal sequences that starts with the given lengths; returns how many."""
@@ -212,28 +248,45 @@ def plan_packing(counts: np.ndarray, max_len: int = MAX_LEN) -> list[tuple[int,
         plan.append((run, sorted(used.items(), reverse=True)))
         return run
 
-    def largest(c: int, taken: list[int]) -> int | None:
-        k = bisect_right(lengths, c * width)
-        while k and lengths[k - 1] > (c - 1) * width:
-            n = lengths[k - 1]
-            if left[n] > taken.count(n):
-                return n
-            k -= 1
+    def fullest(pattern: list[tuple[int, int]], least: int) -> list[int] | None:
+        """Lengths within the pattern's classes, still there, that add up to the most up to ``max_len``, at least ``least``; first the longest."""
+        *few, last = pattern
+        there = np.zeros(max_len + 1, np.int64)
+        there[last[0] : last[1] + 1] = np.where(left[last[0] : last[1] + 1] > 0, np.arange(last[0], last[1] + 1), 0)
+        there = np.maximum.accumulate(there)  # the longest of the last class up to a length
+        sums, chosen = np.zeros(1, np.int64), np.zeros((1, 0), np.int64)
+        for k, (x, y) in enumerate(few):
+            here = np.arange(y, x - 1, -1)
+            here = here[left[here] > 0]
+            if k == 0:
+                here = here[:1]
+            if not len(here):
+                return None
+            sums, chosen = (sums[:, None] + here).ravel(), np.column_stack([np.repeat(chosen, len(here), axis=0), np.tile(here, len(sums))])
+            keep = sums <= max_len
+            sums, chosen = sums[keep], chosen[keep]
+        if not len(sums):
+            return None
+        close = there[max_len - sums]
+        whole = np.where(close > 0, sums + close, 0)
+        # of equally full ones that of the most frequent lengths, which leaves most choice
+        for i in np.lexsort((-np.minimum(left[close], left[chosen].min(axis=1, initial=1 << 60)), -whole))[:8]:
+            if whole[i] < max(least, 1):
+                break
+            found = [*chosen[i].tolist(), int(close[i])]
+            if all(left[n] >= found.count(n) for n in found):
+                return found
         return None
 
-    for pattern, repeats in fit_patterns(left, max_len) if lengths else []:
-        while repeats > 0:
-            start: list[int] = []
-            for c in pattern[:-1] or pattern:  # the last place goes to the best fit
-                n = largest(c, start)
-                if n is not None:
-                    start.append(n)
-            if len(start) < len(pattern[:-1] or pattern):
-                break
-            repeats -= emit(start, repeats)
+    for share in rounds:
+        for pattern, repeats in fit_patterns(left, max_len, share, shortest):
+            while repeats > 0 and (start := fullest(pattern, int(np.ceil(max_len * (1 - share))))):
+                before = int(left.sum())
+                repeats -= emit(start, repeats)
+                placed += before - int(left.sum())
     while lengths:
         emit([lengths[-1]], 1 << 60)
-    return plan
+    return plan, placed
 
 
 def _places(plan: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -252,39 +305,42 @@ def _places(plan: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, in
 
 
 def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
+    """``pieces`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset, which replace columns of these names.
 
-    The table should be a written one: it is read twice. Repeated rows are packed each for itself; no row is lost. An empty table
-    gives an empty one. The plan has at most a few rows per length, so its size is bounded by ``max_len``.
+    Repeated rows are packed each for itself; which of several pieces of one length takes which place is of no account, so ties are no matter; no row is
+    lost. All other columns come back as they are, whatever their names. An empty table gives an empty one. The plan has at most a few rows per length, so its
+    size is bounded by ``max_len``.
     """
     spark = pieces.sparkSession
+    # equal rows get different slots, which are fixed once they are written
+    slot = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(1 << 30)).alias("slot")
+    rows = boxed(pieces, {c: c for c in ("doc_id", "piece", "length")}).select("row", "length", slot)
+    rows = materialise(rows, "pieces")
     counts = np.zeros(max_len + 1, np.int64)
-    for row in pieces.groupBy("length").count().collect():  # max_len rows at most
+    for row in rows.groupBy("length").count().collect():  # max_len rows at most
         counts[row["length"]] = row["count"]
     places = _places(plan_packing(counts, max_len))
-    table = spark.createDataFrame(places, "length long, lo long, hi long, times long, sequence long, at long") if places else spark.createDataFrame([], "length long, lo long, hi long, times long, sequence long, at long")
+    table = spark.createDataFrame(places, "of long, lo long, hi long, times long, sequence long, at long")
     buckets = int(-(-counts.sum() // BUCKET)) or 1
-    order = ["doc_id", "piece", "start", "ids_crc32"]
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    within = Window.partitionBy("length", "bucket").orderBy(*order)
-    ranked = spread.withColumn("rank", F.row_number().over(within) - 1)
+    spread = rows.withColumn("bucket", F.floor(F.col("slot") * buckets / (1 << 30)).cast("long"))
+    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("slot")) - 1)
     sizes = spread.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
     placed = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    t = F.broadcast(table.withColumnRenamed("length", "of"))
-    joined = placed.join(t, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    joined = placed.join(F.broadcast(table), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
-    return joined.select(
-        *pieces.columns,
+    made = joined.select(
+        "row",
         (F.col("sequence") + F.floor(nth / F.col("times"))).cast("long").alias("sequence_id"),
         (F.col("at") + F.pmod(nth, F.col("times")) * F.col("length")).cast("long").alias("offset"),
     )
+    return unboxed(made, pieces, ("sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Every piece of every document with its place; null and empty texts are the end id alone."""
-    return pack(materialise(tokenize_pieces(docs, path, id_col, text_col, max_len, end_id, with_ids), "pieces"), max_len)
+    """Every piece of every document with its place; null and empty texts are the end id alone. Other columns of ``docs`` are left out."""
+    return pack(tokenize_pieces(docs, path, id_col, text_col, max_len, end_id, with_ids), max_len)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
