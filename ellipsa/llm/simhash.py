@@ -1,18 +1,17 @@
 """SimHash fingerprints and near-duplicate groups.
 
 Links are found between distinct fingerprints, never between documents. Two fingerprints that differ in at
-most ``MAX_BITS`` = 2 bits differ in at most two of their eight bytes, so
+most ``MAX_BITS`` = 2 bits share at least six of their eight bytes by position.
 
-* they share at least six bytes by position: the guaranteed minimum;
-* at least two of their four 16-bit blocks are equal, whichever bits differ.
-
-The inverted index therefore lists each fingerprint under six postings, one for each pair of blocks
-(four positional bytes: lists by single bytes would grow with the square of the corpus). Pairs from postings of at most ``POSTING``
-fingerprints have their shared positional bytes tallied; those with six or more are verified bit
+The inverted index lists each fingerprint under 14 postings, one for each set of four byte positions whose numbers have XOR 0
+(lists by single bytes would grow with the square of the corpus). Any three positions lie in exactly one such set,
+so two fingerprints with m equal positional bytes share 14 postings for m = 8, 7 for m = 7, 3 for m = 6 and at most one for fewer: a
+pair's tally over the index tells its equal bytes, and three shared postings are the guaranteed minimum. Pairs from postings
+of at most ``POSTING`` fingerprints are tallied, those that reach the minimum are verified bit
 by bit. Longer postings, which groups of near copies make, are not cut: their fingerprints go an exact linear
 way. Each emits itself and its 64 one-bit neighbours; two fingerprints differ in at most 2 bits exactly if
 they emit a common value, at most 65 distinct fingerprints can emit one value, and each is linked to the
-least of them.
+least of them. A pair within 2 bits either has all its shared postings among the short ones, and is tallied in full, or is in a long one.
 """
 
 from __future__ import annotations
@@ -31,9 +30,12 @@ from pyspark.sql.window import Window
 from .common import boxed, by_bytes, materialise, row_key, unboxed
 
 MAX_BITS = 2
-MIN_BYTES = 6
+#: Postings that two fingerprints within ``MAX_BITS`` share at least.
+MIN_SHARED = 3
 #: Fingerprints of a posting whose pairs are tallied one by one.
 POSTING = 32
+#: The most fingerprints that are ever broadcast.
+HEAVY = 8192
 _UP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -65,26 +67,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(part, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
+def _byte_sets() -> list[tuple[int, ...]]:
+    """The 14 sets of four byte positions whose numbers have XOR 0."""
+    return [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 
 
 def _postings(fps: DataFrame) -> DataFrame:
-    """(fp, key): six postings each; a key is the pair's number and 32 bits."""
-    fp = F.col("fp")
-    keys = [F.lit(n << 32) + F.shiftleft(_block(fp, i), 16) + _block(fp, j) for n, (i, j) in enumerate(combinations(range(4), 2))]
+    """(fp, key): a key is the set's number and the four bytes."""
+    keys = []
+    for n, places in enumerate(_byte_sets()):
+        key = F.lit(n << 32)
+        for k, i in enumerate(places):
+            key = key + F.shiftleft(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(0xFF)), 8 * k)
+        keys.append(key)
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight positional bytes are equal."""
-    x = a.bitwiseXOR(b)
-    total = F.lit(0)
-    for i in range(8):
-        total = total + F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0)
-    return total
-
-
 def links(fps: DataFrame, posting: int = POSTING) -> DataFrame:
     """(a, b) with a < b: verified links between the distinct fingerprints of column fp, enough to connect each group."""
     index = _postings(fps)
@@ -92,8 +90,8 @@ def links(fps: DataFrame, posting: int = POSTING) -> DataFrame:
     listed = materialise(index.join(sizes, "key").select("key", "fp", "n"), "postings")
     light = listed.where(F.col("n") <= posting).select("key", "fp")
     pairs = light.withColumnRenamed("fp", "a").join(light.withColumnRenamed("fp", "b"), "key").where("a < b")
-    tallied = pairs.where(shared_bytes(F.col("a"), F.col("b")) >= MIN_BYTES)
-    verified = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b").distinct()
+    tallied = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= MIN_SHARED)
+    verified = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
     heavy = listed.where(F.col("n") > posting).select("fp").distinct()
     near = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)]
     emitted = heavy.select("fp", F.explode(F.array(*near)).alias("value"))
@@ -130,28 +128,49 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
 
 
+def _by_fingerprint(found: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """``found`` with the columns of ``table`` (fp, n, ...), n being the rows of a fingerprint.
+
+    Those of more than ``total / HEAVY`` rows are fewer than ``HEAVY`` and are broadcast, so no fingerprint makes a partition uneven.
+    """
+    heavy = F.broadcast(table.where(F.col("n") > total / HEAVY).drop("n"))
+    light = table.where(F.col("n") <= total / HEAVY).drop("n")
+    return found.join(heavy, "fp").unionByName(found.join(heavy.select("fp"), "fp", "left_anti").join(light, "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = POSTING) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row per row of ``docs``.
 
     component_id is the least doc_id that links of at most 2 differing bits reach. Texts without words, and null ones,
     have fingerprint zero and are linked like any other. Repeated rows are copies like any others; null ids are reported and never
-    chosen while the group has another. An empty table gives no rows.
+    chosen while the group has another. Other columns are ignored. An empty table gives no rows.
     """
     found = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    fps = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     groups = materialise(connected(links(fps.select("fp"), posting)), "groups")
     named = groups.join(fps, groups.node == fps.fp).groupBy("root").agg(F.min("first").alias("component_id"))
     ids = groups.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = fps.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    classes = fps.join(ids, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
     classes = materialise(classes, "classes")
-    return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return _by_fingerprint(found, classes, total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = POSTING) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one of least id, of rows with one id the one of least content hash."""
+    """``docs`` with one row of each near-duplicate group: the one of least id, null ids last, of rows with one id the one of least content hash.
+
+    Groups are those of texts, whatever the ids: different texts that share an id, or have none, each stay. Rows that are equal in
+    every column (maps aside) are copies of one text. All columns come back as they are, whatever their names. An empty table gives an empty one.
+    """
     kinds = dict(docs.dtypes)
-    first = near_duplicates(docs, id_col, text_col, posting).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     keys = row_key(*[F.col("row").getField(c) for c in docs.columns if "map<" not in kinds[c]])
-    rows = boxed(docs, {"id": id_col}).select("row", "id", *keys)
-    kept = rows.join(first, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
-    return unboxed(kept.groupBy("id").agg(F.min_by("row", F.struct("_k1", "_k2")).alias("row")), docs, ())
+    keyed = boxed(docs, {"id": id_col, "text": text_col}).select("id", "text", *keys)
+    named = keyed.select(F.struct(F.col("id").isNull().alias("none"), "id", "_k1", "_k2").alias("doc_id"), "text")
+    found = materialise(fingerprints(named), "fingerprints")
+    fps = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    groups = materialise(connected(links(fps.select("fp"), posting)), "groups")
+    rooted = fps.join(groups, groups.node == fps.fp, "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2")
+    # equal rows meet within each task first, so that many of them make one row a task; the join needs no shuffle of texts of its own
+    once = boxed(docs, {}).select("row", *keys).groupBy("_k1", "_k2").agg(F.first("row").alias("row"))
+    return unboxed(once.join(chosen, ["_k1", "_k2"], "left_semi"), docs, ())
