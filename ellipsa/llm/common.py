@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ellipsa.session import materialise, read_table, shared_dir
 
-__all__ = ["LOWER", "SPACES", "UPPER", "boxed", "bucket_below", "by_bytes", "crc_mod", "lower_az", "materialise", "read_table", "row_key", "shared_dir", "strip_ascii", "unboxed", "words_of"]
+__all__ = ["LOWER", "SPACES", "UPPER", "boxed", "bucket_below", "by_bytes", "crc_mod", "lower_az", "materialise", "one_text_each", "read_table", "row_key", "shared_dir", "strip_ascii", "unboxed", "words_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -48,6 +48,13 @@ def bucket_below(key: Column, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(F.lit(20011), key), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share
 
 
+def one_text_each(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, text and the columns of ``sample`` (doc_id once each, and others): one row per id, its text of least content hash."""
+    others = [c for c in sample.columns if c != "doc_id"]
+    joined = docs.select("doc_id", "text").join(sample, "doc_id")
+    chosen = joined.groupBy("doc_id", *others).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return chosen.select("doc_id", F.col("least.text").alias("text"), *others)
+
 
 def boxed(df: DataFrame, named: dict[str, str]) -> DataFrame:
     """All columns of ``df`` in the struct ``row``, and copies of some under names of ours, so that no name can clash."""

@@ -46,6 +46,8 @@ SCRIPTS = (
 NAMES = tuple(dict.fromkeys(name for _, name in SCRIPTS))
 #: Labelled documents of each language that the model is fitted on, about.
 PER_LANGUAGE = 1500
+#: Languages that a model may have: it holds 2 ** BITS numbers of each.
+MAX_LANGUAGES = 200
 BITS, LOW, HIGH = 16, 1, 4
 #: Share of a language's letters from which a script counts as its own.
 SCRIPT_SHARE = 0.01
@@ -80,10 +82,12 @@ def fit(docs: DataFrame, label_col: str = "lang", folds: int = 3, held: int = 1,
     """The model of the non-null labels of ``docs`` (doc_id, text, label) whose crc32(doc_id as text) mod ``folds`` isn't ``held``.
 
     About ``per_language`` documents of each language are read, chosen by id hash: all of them where there are fewer. Only counts
-    by language and bucket reach the driver.
+    by language and bucket reach the driver. More than ``MAX_LANGUAGES`` labels are an error. An empty table gives a model without languages.
     """
     rows = docs.where(F.col(label_col).isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held))
-    sizes = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}  # one row per language
+    sizes = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different values of {label_col}")
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col(label_col) == name, min(1.0, per_language / n)).otherwise(share)

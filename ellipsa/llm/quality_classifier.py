@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, by_bytes, crc_mod, unboxed
+from .common import boxed, by_bytes, crc_mod, materialise, one_text_each, unboxed
 from .ngrams import hashed
 
-#: The most labelled documents that the model is trained on.
-MAX_LABELLED = 2000
+#: The most labelled documents that the model is trained on, and the most distinct buckets of theirs together: 8 bytes each.
+MAX_LABELLED, MAX_BUCKETS = 2000, 16 << 20
 BITS, LOW, HIGH = 16, 2, 4
 DIM, EPOCHS, RATE = 8, 6, 0.8
 #: Steps at least, so that a small sample is gone through more often.
@@ -70,14 +70,16 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]))
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, most: int = MAX_LABELLED) -> tuple[list, list]:
+def labelled_bags(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, most: int = MAX_LABELLED, buckets: int = MAX_BUCKETS) -> tuple[list, list]:
     """Bags and labels of at most ``most`` documents whose crc32(doc_id as text) mod ``folds`` isn't 0: the labels of least id hash.
 
-    A document labelled both ways counts as 0; null ids and labels are ignored. Whole texts are used.
+    They come in order of that hash, and end before their distinct buckets are more than ``buckets`` in all, so what the driver holds is bounded.
+    A document labelled both ways counts as 0; null ids and labels are ignored. Of rows with one id the text of least content hash counts.
+    Whole texts are used; null and empty ones give empty bags. Other columns are ignored. Empty tables give no rows.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(F.col("doc_id"), folds) != 0))
     sample = known.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = one_text_each(docs, F.broadcast(sample))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,9 +89,12 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), ids, counts], ["doc_id", "label", "ids", "counts"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(part, f"doc_id {kind}, label int, ids array<int>, counts array<float>").toArrow().sort_by("doc_id")
-    bags = [(i.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)) for i, c in zip(found["ids"], found["counts"], strict=True)]
-    return bags, found["label"].to_pylist()
+    bags = materialise(rows.mapInArrow(part, f"doc_id {kind}, label int, ids array<int>, counts array<float>").withColumn("h", F.xxhash64("doc_id")), "bags")
+    sizes = bags.select("h", "doc_id", F.size("ids").alias("n")).orderBy("h", "doc_id").collect()  # ``most`` rows at most
+    fits = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), buckets, side="right")) if sizes else 0
+    found = bags.orderBy("h", "doc_id").limit(fits).toArrow()
+    pairs = [(i.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)) for i, c in zip(found["ids"], found["counts"], strict=True)]
+    return pairs, found["label"].to_pylist()
 
 
 _known: dict[int, tuple[Model, dict[str, complex]]] = {}
@@ -115,12 +120,7 @@ def _scores(model: Model, texts: list[str | None], known: dict[str, complex]) ->
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted; columns of these names are replaced.
-
-    Words are the text's parts between white space. A null or empty text has the score of the bias alone. Repeated rows score alike; an empty table gives an
-    empty table.
-    """
+def _scored(docs: DataFrame, model: Model, text_col: str, threshold: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 2 ** BITS numbers
     key = hash((float(model.weights.sum()), model.bias))
 
@@ -132,5 +132,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
         batch = pa.RecordBatch.from_arrays([text], ["text"])
         return pa.array(np.concatenate([_scores(_known[key][0], x.column(0).to_pylist(), _known[key][1]) for x in by_bytes(batch, 0)] or [np.empty(0)]))
 
-    scored = boxed(docs, {"text": text_col}).withColumn("score", judge("text")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
-    return unboxed(scored, docs, ("score", "predicted"))
+    return boxed(docs, {"text": text_col}).withColumn("score", judge("text")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted; columns of these names are replaced.
+
+    Words are the text's parts between white space. A null or empty text has the score of the bias alone. Repeated rows score alike; an empty table gives an
+    empty table.
+    """
+    return unboxed(_scored(docs, model, text_col, threshold), docs, ("score", "predicted"))
+
+
+def keep_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more, with their own columns and no others."""
+    return unboxed(_scored(docs, model, text_col, threshold).where("predicted = 1"), docs, ())

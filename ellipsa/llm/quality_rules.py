@@ -8,13 +8,14 @@ pruned on the last third, and becomes one branch of an ordered conditional expre
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, crc_mod, unboxed, words_of
+from .common import boxed, crc_mod, one_text_each, unboxed, words_of
 
 #: The most labelled documents that a list is learned from: each is seven numbers.
 MAX_LABELLED = 6000
@@ -41,12 +42,8 @@ def _repeat_words(text: DataFrame) -> DataFrame:
     return text.withColumn("n_repeat_words", F.when(F.col("_t").isNull(), 0).otherwise(covered).cast("long")).drop("_h", "_s", "_t")
 
 
-def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the long columns of ``COUNTS``, which replace columns of those names.
-
-    Words are ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none and counts 0 throughout. Lines are split at
-    \\n; one without a word is never a duplicate.
-    """
+def _counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """row, the columns of ``docs`` in a struct, and the columns of ``COUNTS``."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = boxed(docs, {"text": text_col}).withColumns({"_words": words_of(F.col("text")), "_lines": lines})
@@ -60,7 +57,16 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_bangs": F.regexp_count(text, F.lit(r"!")).cast("long"),
         }
     )
-    return unboxed(_repeat_words(out), docs, COUNTS)
+    return _repeat_words(out).select("row", *COUNTS)
+
+
+def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the long columns of ``COUNTS``, which replace columns of those names.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``; a null or empty text has none and counts 0 throughout. Lines are split at
+    \\n; one without a word is never a duplicate.
+    """
+    return unboxed(_counted(docs, text_col), docs, COUNTS)
 
 
 #: The features of a rule: name and its terms, so that driver and Spark divide the same numbers.
@@ -177,19 +183,30 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     """Features and labels of at most ``most`` documents whose crc32(doc_id as text) mod ``folds`` isn't 0.
 
     The sample is the labels of smallest id hash, so it has a proven bound and may be broadcast. A document labelled
-    both ways counts as 0; null ids and labels are ignored.
+    both ways counts as 0; null ids and labels are ignored. Of rows with one id the text of least content hash counts. Empty tables give no rows.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(F.col("doc_id"), folds) != 0))
     sample = known.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = text_statistics(joined).select("doc_id", "_label", *COUNTS).orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(2 * most).collect()
+    joined = one_text_each(docs, F.broadcast(sample))
+    got = text_statistics(joined).select("doc_id", "_label", *COUNTS).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # ``most`` rows at most
     return [(feature_row(r.asDict()), r["_label"]) for r in got]
 
 
+def _judged(docs: DataFrame, rules: Sequence[Rule], text_col: str) -> DataFrame:
+    counted = _counted(docs, text_col).withColumn("base_failed", base_failed())
+    return counted.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
 def apply_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> DataFrame:
-    """``docs`` with the statistics, base_failed and kept.
+    """``docs`` with the statistics, base_failed and kept; columns of these names are replaced.
 
     Null and empty texts have no words and fail the base rule. Repeated rows are judged alike; an empty table gives an empty table.
     """
-    counted = text_statistics(docs, text_col).withColumn("base_failed", base_failed())
-    return counted.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return unboxed(_judged(docs, rules, text_col), docs, (*COUNTS, "base_failed", "kept"))
+
+
+def keep_documents(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``apply_rules`` keeps, with their own columns and no others."""
+    # the observed count also keeps the optimiser from copying the statistics into the filter, once for each use
+    judged = _judged(docs, rules, text_col).observe(f"quality rules {uuid.uuid4().hex}", F.count_if("kept").alias("kept"))
+    return unboxed(judged.where("kept"), docs, ())

@@ -22,8 +22,9 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+    pages = read_table(spark, sf_dir, "pages")
+    judged = url_filter.judge_urls(pages.select("page_id", "url"), url_filter.thin_hosts(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat_format import ALSO, END, TEXT, TURN
 from .common import LOWER, UPPER
-from .url_filter import BLOCKED_HOSTS, RULES
+from .url_filter import RULES, THIN_CHARS
 
 ORACLE: dict[str, str] = {}
 
@@ -17,47 +17,53 @@ _fits = "\n".join(
     f"WHEN (host = {_text(h)} OR ends_with(host, {_text('.' + h)})) AND starts_with(path, {_text(p)}) THEN {_text(a + ' ' + h + p)}"
     for a, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
 )
-_blocked = " OR ".join(f"host = {_text(h)} OR ends_with(host, {_text('.' + h)})" for h in BLOCKED_HOSTS)
 ORACLE["op1_url_filter"] = rf"""
-WITH parts AS (
-  SELECT page_id,
+WITH parts AS MATERIALIZED (
+  SELECT page_id, html,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
-fitted AS (SELECT *, CASE {_fits} END AS fit FROM parts)
+thin AS MATERIALIZED (
+  SELECT host AS key FROM parts WHERE host <> '' GROUP BY host HAVING sum(length(coalesce(html, ''))) < {THIN_CHARS} * count(*)),
+fitted AS (
+  SELECT *, CASE {_fits} END AS fit,
+    EXISTS (SELECT 1 FROM thin WHERE parts.host = key OR ends_with(parts.host, '.' || key)) AS listed
+  FROM parts)
 SELECT page_id, host, path, regexp_replace(fit, '^[a-z]+ ', '') AS rule,
-  CASE WHEN fit IS NOT NULL THEN split_part(fit, ' ', 1) WHEN {_blocked} THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN fit IS NOT NULL THEN split_part(fit, ' ', 1) WHEN listed THEN 'block' ELSE 'allow' END AS verdict
 FROM fitted
 """
 
 _escaped = r"replace(replace({x}, '\', '\b'), '<|', '\l|')"
 ORACLE["op4_chat_format"] = rf"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok'),
 marked AS (
-  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM turns)
+  SELECT *, lag(role) OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS before FROM turns)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   cast(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS bigint) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
   cast(sum(length({_escaped.format(x="text")}) + CASE WHEN role IS NOT DISTINCT FROM before THEN {len(ALSO)}
     ELSE length({_escaped.format(x="role")}) + {len(TURN) + len(TEXT) + len(END)} END) AS bigint) AS formatted_chars
-FROM marked GROUP BY conv_id
+FROM marked GROUP BY conv_id, alone
 """
 
 _strip = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 ORACLE["op6_line_dedup"] = f"""
-WITH lines AS MATERIALIZED (
-  SELECT doc_id, pos, line, translate({_strip}, '{UPPER}', '{LOWER}') AS key
-  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
-common AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+lines AS MATERIALIZED (
+  SELECT row, doc_id, pos, line, translate({_strip}, '{UPPER}', '{LOWER}') AS key
+  FROM (SELECT row, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+        FROM (SELECT row, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM docs))),
+common AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key
+  HAVING count(DISTINCT doc_id) + count(DISTINCT row) FILTER (WHERE doc_id IS NULL) >= 10)
 SELECT doc_id, count(*) AS n_lines,
   cast(count(*) FILTER (WHERE common.key IS NOT NULL) AS bigint) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
-FROM lines LEFT JOIN common USING (key) GROUP BY doc_id
+FROM lines LEFT JOIN common USING (key) GROUP BY row, doc_id
 """
 
 _usable = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"

@@ -27,8 +27,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Hosts blocked with all their subdomains when no rule fits.
-BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: A host whose pages have fewer characters of HTML than this on average is blocked by content.
+THIN_CHARS = 3000
 #: Bytes of one cascade that may be broadcast; a larger key list is split into shards.
 MAX_BYTES = 64 << 20
 #: Key sets up to this many rows finish on the driver: 16 bytes each.
@@ -119,15 +119,16 @@ def _encode(keys: DataFrame, number: int, bits: int, probes: int) -> Level:
     return Level(number, bits, probes, words)
 
 
-def _passing(keys: DataFrame, levels: Sequence[Level]) -> DataFrame:
-    """The keys that all of ``levels`` hold."""
-    sent = keys.sparkSession.sparkContext.broadcast(list(levels))
+def _passing(keys: DataFrame, levels: Sequence[Level], sent: list) -> DataFrame:
+    """The keys that all of ``levels`` hold; the broadcast is added to ``sent``, for its end."""
+    known = keys.sparkSession.sparkContext.broadcast(list(levels))
+    sent.append(known)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
             keep = np.ones(len(a), bool)
-            for level in sent.value:
+            for level in known.value:
                 keep[keep] = level.holds(a[keep], b[keep])
             yield batch.filter(pa.array(keep))
 
@@ -142,25 +143,28 @@ def build_cascade(keys: DataFrame, local_keys: int = LOCAL_KEYS) -> Cascade:
         sizes[0 if row["listed"] else 1] = row["count"]
     cascade = Cascade()
     held: list = [None, None]  # a side on the driver, once it is small
+    sent: list = []
     for number in range(MAX_LEVELS):
         mine, other = number % 2, 1 - number % 2
         if not sizes[mine]:
             return cascade
         bits, probes = _shape(sizes[mine], sizes[other], number == 0)
         if held[mine] is None and sizes[mine] <= local_keys:
-            got = _passing(sides[mine], cascade.levels[other::2]).toArrow()
+            got = _passing(sides[mine], cascade.levels[other::2], sent).toArrow()
             held[mine] = [got[c].to_numpy().view(np.uint64) for c in ("a", "b")]
         if held[mine] is not None:
             level = _encode_local(number, bits, probes, *held[mine])
         else:
-            level = _encode(_passing(sides[mine], cascade.levels[other::2]), number, bits, probes)
+            level = _encode(_passing(sides[mine], cascade.levels[other::2], sent), number, bits, probes)
         cascade.levels.append(level)
         if held[other] is not None:
             keep = level.holds(*held[other])
             held[other] = [x[keep] for x in held[other]]
             sizes[other] = int(keep.sum())
         else:
-            sizes[other] = _passing(sides[other], cascade.levels[mine::2]).count()
+            sizes[other] = _passing(sides[other], cascade.levels[mine::2], sent).count()
+        while sent:
+            sent.pop().destroy()
     raise ValueError("the cascade doesn't end: a listed and an unlisted key share a 128-bit hash")
 
 
@@ -199,15 +203,17 @@ def _judge(sent):
 def listed_any(df: DataFrame, keys: str, out: str, shards: Sequence[Cascade]) -> DataFrame:
     """``df`` with the boolean ``out``: whether any key of the array column ``keys`` is listed.
 
-    One pass per shard; between passes the result so far is written, so a task holds one cascade at a time.
+    A column of that name is replaced, all others stay. One pass per shard; between passes the result so far is written, so a task holds one cascade at a time.
     """
-    df = df.withColumns({"_a": F.transform(keys, lambda k: key_hash(k)[0]), "_b": F.transform(keys, lambda k: key_hash(k)[1]), out: F.lit(False)})
+    like = df
+    halves = F.transform("keys", lambda k: key_hash(k)[0]).alias("a"), F.transform("keys", lambda k: key_hash(k)[1]).alias("b")
+    df = boxed(df, {"keys": keys}).select("row", *halves, F.lit(False).alias(out))
     for s, cascade in enumerate(shards):
         judge = _judge(df.sparkSession.sparkContext.broadcast((cascade, s, len(shards))))
-        df = df.withColumn(out, F.col(out) | judge("_a", "_b"))
+        df = df.withColumn(out, F.col(out) | judge("a", "b"))
         if s + 1 < len(shards):
             df = materialise(df, "url-pass")
-    return df.drop("_a", "_b")
+    return unboxed(df, like, (out,))
 
 
 def host_of(url: Column) -> Column:
@@ -228,11 +234,20 @@ def _under(host: Column, domain: str) -> Column:
     return (host == domain) | host.endswith(f".{domain}")
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, blocked: DataFrame | Sequence[str] = BLOCKED_HOSTS, url_col: str = "url", **build) -> DataFrame:
+def thin_hosts(pages: DataFrame, least: int = THIN_CHARS, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """key: the hosts whose pages have fewer than ``least`` characters of HTML on average; null HTML has none, empty hosts are left out.
+
+    One row per task and host is shuffled, so a host that has a third of all pages is no heavier than others.
+    """
+    sizes = pages.select(host_of(F.col(f"`{url_col}`")).alias("key"), F.length(F.coalesce(F.col(f"`{html_col}`"), F.lit(""))).cast("long").alias("chars"))
+    return sizes.where("key != ''").groupBy("key").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).where(F.col("chars") < least * F.col("n")).select("key")
+
+
+def judge_urls(pages: DataFrame, blocked: DataFrame | Sequence[str], rules: Iterable[tuple[str, str, str]] = RULES, url_col: str = "url", **build) -> DataFrame:
     """``pages`` with host, path, rule and verdict; columns of these names are replaced.
 
     The longest rule that fits decides; else a host is blocked if it or a parent domain is among
-    ``blocked`` (a sequence, or a table with a column key), judged by a cascade over all
+    ``blocked`` (a sequence, or a table with a column key, of any size), judged by a cascade over all
     host keys of ``pages``. Null urls and urls without ``://`` have an empty host and path, fit no rule and are
     allowed. Of equally long rules the first in text order wins. Repeated rows are judged alike; an empty table gives an empty
     table.
@@ -241,6 +256,8 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     if not isinstance(blocked, DataFrame):
         blocked = spark.createDataFrame([(x,) for x in blocked], "key string")
     made = ("host", "path", "rule", "verdict")
+    if not blocked.columns == ["key"]:
+        blocked = blocked.select("key")
     parts = boxed(pages, {"url": url_col}).select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     universe = parts.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
     shards = build_shards(universe, blocked.select(lower_az(F.col("key")).alias("key")), **build)

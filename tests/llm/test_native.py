@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ellipsa.llm import chat_format, line_dedup, quality_rules, url_filter
+from ellipsa.llm import chat_format, line_dedup, quality_classifier, quality_rules, sql, url_filter
 
 DOCS = "doc_id long, text string, row string, n_lines int, _k1 string"
 SHARED = " \tShared LINE\r"
@@ -38,6 +40,26 @@ def test_line_dedup_repeats_nulls_and_empty(spark, docs):
     out = line_dedup.line_dedup(twice, min_docs=3)
     assert out.count() == twice.count() and out.where("doc_id is null and n_dropped = 1").count() == 3
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+    plain = line_dedup.line_dedup(docs.drop("doc_id"), min_docs=3, counted=False)
+    assert plain.columns == docs.columns[1:] and plain.where("n_lines = 1").count() == docs.count()
+
+
+def test_line_dedup_agrees_with_its_sql_on_repeated_ids(spark, tmp_path):
+    rows = [(7, f"same\nown {i}") for i in range(12)] + [(i, f"often\n{i}") for i in range(20, 31)] + [(None, f"lost\n{i}") for i in range(10)] + [(8, "often"), (8, "often"), (None, "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.line_dedup(df).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    df.toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, con.execute(sql.ORACLE["op6_line_dedup"]).fetchall()))
+    assert out.where("n_dropped > 0").count() == 23  # the id of "same" is one document
+
+
+def test_line_dedup_deals_very_common_rows_out(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HEAVY", 4)
+    rows = [(1, "a\nb\na")] * 30 + [(i, "a\nc") for i in range(2, 11)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).groupBy("doc_id", "text", "n_dropped").count().collect()
+    assert sorted(map(tuple, out)) == [(1, "b", 2, 30), *((i, "c", 1, 1) for i in range(2, 11))]
 
 
 TURNS = [
@@ -59,6 +81,8 @@ def test_chat_round_trip(spark):
     for c, t, role, text in TURNS:
         groups[c].append((t if t is not None else -1, role or "", text or ""))
     assert found.keys() == groups.keys()
+    lost = chat_format.format_chats(spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")], df.drop("turns").schema))
+    assert sorted(r.formatted for r in lost.collect()) == ["<|turn|>assistant<|text|>b<|end|>\n"] + ["<|turn|>user<|text|>a<|end|>\n"] * 2
     for c, turns in groups.items():
         assert [(t.role, t.text) for t in found[c].back] == [(r, t) for _, r, t in sorted(turns)]
         assert found[c].loss == "".join(t for _, r, t in sorted(turns) if r == "assistant")
@@ -66,6 +90,13 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversation_takes_little_longer(spark):
+    df = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    began = time.time()
+    out = chat_format.format_chats(df).select(F.length("formatted").alias("n"), F.size("loss_spans").alias("spans"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert out.spans == 66_666 and out.loss == "".join(f"t{i}" for i in range(100_000) if i % 3) and time.time() - began < 30
+
+
 def rules_brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -93,14 +124,51 @@ def test_decision_list_is_what_spark_evaluates(spark):
     assert quality_rules.learn_decision_list([]) == [] and quality_rules.learn_decision_list(rows[:20]) == []
 
 
+def test_labelled_samples(spark):
+    """Null, doubled and contradicting labels, ids that repeat, long and empty texts, empty tables."""
+    docs = spark.createDataFrame([(i, f"word{i} x") for i in range(30)] + [(3, "other text")] * 500 + [(None, "n"), (5, None), (6, "")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (3, 1), (4, None), (None, 1), (7, 5)], "doc_id long, quality int")
+    held = {r.doc_id for r in labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).collect()}
+    wanted = [i for i in range(30) if i not in held]
+    rows = quality_rules.labelled_rows(docs, labels)
+    assert len(rows) == len(wanted) and sum(y for _, y in rows) == sum(i % 2 and i != 3 for i in wanted)
+    again = quality_classifier.labelled_bags(docs.repartition(7), labels)
+    first = quality_classifier.labelled_bags(docs, labels)
+    assert len(first[0]) == len(wanted) and first[1] == again[1] and all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(first[0], again[0], strict=True))
+    few = quality_classifier.labelled_bags(docs, labels, most=4)
+    assert 0 < len(few[1]) <= 4 and few[1] == first[1][: len(few[1])]
+    bounded = quality_classifier.labelled_bags(docs, labels, buckets=60)
+    assert 0 < len(bounded[0]) < len(wanted) and sum(len(i) for i, _ in bounded[0]) <= 60
+    assert quality_classifier.labelled_bags(docs.limit(0), labels) == ([], []) and quality_rules.labelled_rows(docs, labels.limit(0)) == []
+
+
+def test_judged_rows_repeat_alike(spark):
+    df = spark.createDataFrame([(1, "a b c " * 60, "mine")] * 3 + [(2, None, "x")], "doc_id long, text string, kept string")
+    out = quality_rules.apply_rules(df, [])
+    assert out.where("kept").count() == 0 and out.select("n_words", "base_failed").distinct().count() == 2 and out.count() == 4
+    prose = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(80)), "mine")] * 3, df.schema)
+    assert [r.kept for r in quality_rules.keep_documents(prose, []).collect()] == ["mine"] * 3
+
+
 def test_urls(spark):
     urls = [None, "", "nohost", "HTTP://Ex.ORG?x", "a://x.org/p", "a://notorg/p", "s://a.EXAMPLE.org/en/12#x", "s://example.org/es/", "x://b.com/de/://y", "x://sub.spam-farm.example.net/q", "x://spam-farm.example.network/", "x://" + "a." * 300 + "casino-win.example.com/z"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    out = {r.page_id: r for r in url_filter.judge_urls(df.union(df)).collect()}
+    blocked = ["spam-farm.example.net", "Casino-Win.example.com", "absent.example.com"]
+    out = {r.page_id: r for r in url_filter.judge_urls(df.union(df), blocked).collect()}
     assert [out[i].verdict for i in range(len(urls))] == ["allow"] * 6 + ["block", "block", "block", "block", "allow", "block"]
     assert [out[i].rule for i in (3, 4, 6, 7, 8)] == [None, "org/", "example.org/en/1", "example.org/es/", "com/de/"]
     assert out[0].host == "" and out[3].host == "ex.org" and out[3].path == ""
-    assert url_filter.judge_urls(df.limit(0)).count() == 0
+    assert url_filter.judge_urls(df.limit(0), blocked).count() == 0 and url_filter.judge_urls(df, []).where("verdict = 'block'").count() == 3
+    ties = (("block", "b.com", "/a"), ("allow", "com", "/a/b/c"), ("allow", "a.b.com", "/"), ("block", "a.b.com", "/a"))
+    fit = url_filter.judge_urls(spark.createDataFrame([(1, "x://a.b.com/a")], "page_id long, url string"), [], ties).first()
+    assert (fit.rule, fit.verdict) == ("a.b.com/a", "block")
+    same = url_filter.judge_urls(spark.createDataFrame([(1, "x://a.b/c/d")], "page_id long, url string"), [], (("block", "b", "/c/d"), ("allow", "a.b", "/c"))).first()
+    assert (same.rule, same.verdict) == ("a.b/c", "allow")  # of equally long rules the first in text order
+
+
+def test_thin_hosts(spark):
+    pages = spark.createDataFrame([("x://A.b/1", "1234"), ("x://a.b/2", "12"), ("x://c.d", "123"), ("x://e.f", None), ("x://e.f", "1"), (None, ""), ("none", "")], "url string, html string")
+    assert sorted(r.key for r in url_filter.thin_hosts(pages, 3).collect()) == ["e.f"] and sorted(r.key for r in url_filter.thin_hosts(pages, 4).collect()) == ["a.b", "c.d", "e.f"]
 
 
 @pytest.mark.parametrize(("most", "local"), [(64 << 20, 1 << 16), (64 << 20, 0), (400, 50)])
@@ -109,7 +177,8 @@ def test_cascade_is_exact(spark, most, local):
     listed = universe.where("pmod(hash(key), 7) = 0").union(spark.createDataFrame([("absent",), (None,)], "key string"))
     shards = url_filter.build_shards(universe, listed, most, local)
     assert (len(shards) > 1) == (most == 400) and len(shards[0].levels) > 1
-    found = url_filter.listed_any(universe.withColumn("ks", F.array("key")), "ks", "hit", shards)
+    found = url_filter.listed_any(universe.withColumns({"ks": F.array("key"), "_a": F.lit("mine"), "a": F.lit(1)}), "ks", "hit", shards)
+    assert found.columns == ["key", "ks", "_a", "a", "hit"] and found.where("_a = 'mine' and a = 1").count() == 5000
     assert found.where("hit != (pmod(hash(key), 7) = 0)").count() == 0
 
 
