@@ -9,9 +9,10 @@ import argparse
 import json
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ellipsa.operators import em
+from ellipsa.operators import em, kmeans
 from ellipsa.operators.dataset import vectors
 from ellipsa.operators.model import Mixture
 from ellipsa.sources import binary, models
@@ -24,14 +25,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_mixture(df: DataFrame, k: int, name: str, seed: int = 1) -> Mixture:
-    """By the name of a start, or from a mixture file, which must have ``k`` components unless k is 1.
-
-    The seed is that of K-means||; the other starts pick rows by a hash of their ids.
-    """
-    if name == "kmeansoror":
-        return em.kmeans_start(df, k, "parallel", seed=seed)
+    """By the name of a start, from a mixture file, or by k-means from a centroid file; a file must have ``k`` components unless k is 1."""
     if name in em.STARTS:
-        return em.start(df, k, name)
+        return em.start(df, k, name, seed=seed)
+    if name.endswith(".centroids"):
+        centroids = models.read_centroids(name, None if k == 1 else k)
+        return em.hard_moments(df, kmeans.run(df, centroids, 29, 1e-4).centroids)
     model, _ = models.read_mixture(name)
     if k not in (1, model.k):
         raise ValueError(f"{name} has {model.k} components, not {k}")
@@ -45,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     for p, init in ((start, "kmeans"), (fit, "jain")):
         p.add_argument("dataset")
         p.add_argument("-c", "--components", type=int, default=1)
-        p.add_argument("-I", "--init", default=init, help=f"{', '.join(em.STARTS)} or a mixture file")
+        p.add_argument("-I", "--init", default=init, help=f"{', '.join(em.STARTS)}, a mixture file, or a file of centroids named *.centroids")
         p.add_argument("-g", "--regularization", type=float, default=0.0)
         p.add_argument("-r", "--seed", type=int, default=1)
         p.add_argument("-o", "--output", help="mixture file to write")
@@ -54,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("-a", "--abort-condition", type=float, default=1e5)
     fit.add_argument("-b", "--burn-in", type=int, default=0, help="sweeps before the timed fit, thrown away")
     fit.add_argument("-S", "--no-condition-check", action="store_true")
+    fit.add_argument("-v", "--verbose", action="store_true", help="a line for each sweep")
     fit.add_argument("-O", "--classes", help="folder to write each row's component to")
     return top
 
@@ -79,6 +79,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
             em.fit(df, model, em.EMParams(a.burn_in, 1e-300, a.abort_condition, a.regularization, not a.no_condition_check))
         began = time.perf_counter()
         found = em.fit(df, model, params)
+        if a.verbose:
+            for i, h in enumerate(found.history):
+                print(json.dumps({"sweep": i + 1, **{n: bool(v) if isinstance(v, (bool, np.bool_)) else float(v) for n, v in h.items()}}))
         took, model, likelihood = time.perf_counter() - began, found.model, found.log_likelihood
         sweeps = len(found.history)
         report |= {"sweeps": sweeps, "seconds": round(took, 3), "ms_per_sweep": round(1000 * took / max(1, sweeps), 1), "log_likelihood": likelihood}

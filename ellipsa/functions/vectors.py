@@ -1,4 +1,4 @@
-"""Vector expressions: arrays of doubles in, codegen-friendly Spark columns out."""
+"""Vector expressions: arrays of doubles in, Spark columns out. Higher-order functions run in the JVM, but outside generated code."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def constant(rows: Sequence[Sequence[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
 
 
-def uniform(key: Column, seed: int) -> Column:
+def uniform(key: Column, seed: int | str) -> Column:
     """U[0, 1) from the key and a seed by md5: the same number in every run and every partitioning."""
     text = F.concat(F.lit(f"{seed}:"), key.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ellipsa.functions.vectors import as_doubles
 
+from .partials import lists, matrix, merged, slot
+
 
 def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", dims: int | None = None) -> DataFrame:
     """(row_id, features): doubles, all dimensions or the first ``dims``."""
@@ -25,9 +29,36 @@ def header(df: DataFrame) -> DataFrame:
 
 
 def column_statistics(df: DataFrame) -> DataFrame:
-    """pos (from 0), mean, std, variance (sample), min and max of each column; partial sums per task, d rows shuffled."""
-    values = df.select(F.posexplode("features").alias("pos", "x"))
-    return values.groupBy("pos").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.var_samp("x").alias("variance"), F.min("x").alias("min"), F.max("x").alias("max"))
+    """pos (from 0), mean, std, variance (sample), min and max of each column: five numbers a column from each task, merged in a tree.
+
+    Means and squared deviations of parts are combined without cancellation. An empty table gives no rows; one row has no variance.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0))
+                mean = x.mean(axis=0)
+                own = {"n": np.array([float(len(x))]), "mean": mean[None], "m2": ((x - mean) ** 2).sum(axis=0)[None], "low": x.min(axis=0)[None], "high": x.max(axis=0)[None]}
+                found = own if found is None else {c: np.asarray(v)[None] for c, v in _combined({c: np.concatenate([found[c], own[c]]) for c in own}).items()}
+        if found is not None:
+            columns = [pa.array(np.zeros(1, np.int32)), pa.array([slot()]), pa.array(found["n"]), *[lists(found[c]) for c in ("mean", "m2", "low", "high")]]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "slot", "n", "mean", "m2", "low", "high"])
+
+    kind = "k int, slot long, n double, mean array<double>, m2 array<double>, low array<double>, high array<double>"
+    total = merged(df.select("features").mapInArrow(part, kind), ("n",), ("mean", "m2", "low", "high"), merge=_combined)
+    each = total.select("n", F.posexplode(F.arrays_zip("mean", "m2", "low", "high")).alias("pos", "c"))
+    variance = F.when(F.col("n") > 1, F.col("c.m2") / (F.col("n") - 1))
+    return each.select("pos", F.col("c.mean").alias("mean"), F.sqrt(variance).alias("std"), variance.alias("variance"), F.col("c.low").alias("min"), F.col("c.high").alias("max"))
+
+
+def _combined(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Statistics of all parts: squared deviations about the common mean."""
+    n = c["n"].sum()
+    mean = (c["n"][:, None] * c["mean"]).sum(axis=0) / n
+    m2 = c["m2"].sum(axis=0) + (c["n"][:, None] * (c["mean"] - mean) ** 2).sum(axis=0)
+    return {"n": n, "mean": mean, "m2": m2, "low": c["low"].min(axis=0), "high": c["high"].max(axis=0)}
 
 
 def covariance_trace(df: DataFrame) -> DataFrame:
@@ -51,12 +82,32 @@ def layout(df: DataFrame, parts: int) -> DataFrame:
     return spark.range(parts).select(i.cast("int").alias("part"), (i * (n // parts) + F.least(i, F.lit(n % parts))).cast("long").alias("start"), (F.lit(n // parts) + (i < n % parts).cast("int")).cast("long").alias("n"))
 
 
+def partition_counts(df: DataFrame) -> DataFrame:
+    """part, n: how many rows each partition holds; empty ones have no row."""
+    return df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def from_array(spark: SparkSession, rows: np.ndarray) -> DataFrame:
+    """A dataset of the rows of a matrix that the driver holds; row_id is the row's number."""
+    rows = np.asarray(rows, float)
+    return spark.createDataFrame(pa.table([pa.array(np.arange(len(rows))), lists(rows)], ["row_id", "features"]))
+
+
 def select_rows(df: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """pos, row_id, features: the rows asked for, in order, repeats kept."""
-    asked = df.sparkSession.createDataFrame([(p, int(i)) for p, i in enumerate(ids)], "pos int, row_id long")
-    return F.broadcast(asked).join(df.where(F.col("row_id").isin([int(i) for i in set(ids)])), "row_id").select("pos", "row_id", "features")
+    """pos, row_id, features: the rows asked for, in order, repeats kept. The ids are joined, so there may be any number of them."""
+    asked = df.sparkSession.createDataFrame(pa.table([pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(np.asarray(ids, np.int64))], ["pos", "row_id"]))
+    return df.join(asked, "row_id").select("pos", "row_id", "features")
+
+
+def fetch_row(df: DataFrame, row_id: int) -> np.ndarray:
+    """The vector of one row; an error if there is no such row."""
+    found = df.where(F.col("row_id") == int(row_id)).select("features").head()
+    if found is None:
+        raise KeyError(row_id)
+    return np.array(found["features"])
 
 
-def rows_by_hash(df: DataFrame, k: int) -> list:
-    """The k rows of least md5(row_id): a random pick without replacement that every engine repeats."""
-    return df.orderBy(F.md5(F.col("row_id").cast("string")), "row_id").limit(k).collect()
+def rows_by_hash(df: DataFrame, k: int, seed: int | None = None) -> list:
+    """The k rows of least md5 of row_id, after the seed if there is one: a random pick without replacement that every engine repeats."""
+    key = F.col("row_id").cast("string")
+    return df.orderBy(F.md5(key if seed is None else F.concat(F.lit(f"{seed}:"), key)), "row_id").limit(k).collect()

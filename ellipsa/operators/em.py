@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import kmeans
 from .dataset import covariance_trace, rows_by_hash
-from .kmeans import matrix
 from .model import Mixture, MixtureError, log_joint
+from .partials import lists, matrix, merged, slot, spread, tasks_of
 
 
 def log_sum_exp(joint: np.ndarray) -> np.ndarray:
@@ -32,7 +32,7 @@ def posterior_table(df: DataFrame, model: Mixture) -> DataFrame:
                 joint = log_joint(matrix(batch.column(1)), *sent.value)
                 lse = log_sum_exp(joint)
                 gamma = np.exp(joint - lse[:, None])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lse), pa.array(list(gamma), pa.list_(pa.float64())), pa.array(joint.argmax(axis=1).astype(np.int32))], ["row_id", "log_density", "gamma", "cluster"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lse), lists(gamma), pa.array(joint.argmax(axis=1).astype(np.int32))], ["row_id", "log_density", "gamma", "cluster"])
 
     return df.select("row_id", "features").mapInArrow(part, "row_id long, log_density double, gamma array<double>, cluster int")
 
@@ -47,11 +47,11 @@ class Moments:
     second: np.ndarray
 
 
-def moments(df: DataFrame, model: Mixture) -> Moments:
+def moments(df: DataFrame, model: Mixture, tasks: int | None = None) -> Moments:
     """E-step and sufficient statistics in one pass.
 
-    A task emits one row per component; rows are merged by component on the executors, so the driver gets K rows
-    whatever the number of tasks. Moments are taken about the old means, which keeps cancellation small.
+    A task emits one row per component; rows are merged by component on the executors in a tree, so the driver gets K rows
+    and a worker a few of them at once, whatever the number of ``tasks``. Moments are taken about the old means, which keeps cancellation small.
     """
     inverse, logdet = model.factors()
     sent = df.sparkSession.sparkContext.broadcast((model.weights, model.means, inverse, logdet))
@@ -73,25 +73,34 @@ def moments(df: DataFrame, model: Mixture) -> Moments:
                     g = z * gamma[:, c : c + 1]
                     s[c] += g.sum(axis=0)
                     q[c] += g.T @ z
-        packed = [q[c][np.triu_indices(d)].tolist() for c in range(k)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, ll)), pa.array(n), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array(packed, pa.list_(pa.float64()))], ["k", "ll", "n", "s", "q"])
+        if n.any():
+            yield _packed(np.full(k, ll), n, s, q)
 
-    kind = "k int, ll double, n double, s array<double>, q array<double>"
-    rows = df.select("features").mapInArrow(part, kind).groupBy("k").applyInArrow(_merge, kind).collect()
-    rows = sorted(rows, key=lambda r: r["k"])
-    second = np.zeros((k, d, d))
-    for r in rows:
-        second[r["k"]][np.triu_indices(d)] = r["q"]
-    second += np.transpose(np.triu(second, 1), (0, 2, 1))
-    return Moments(rows[0]["ll"], np.array([r["n"] for r in rows]), np.array([r["s"] for r in rows]), second)
+    try:
+        rows = merged(df.select("features").mapInArrow(part, _KIND), ("ll", "n"), ("s", "q"), tasks).collect()
+    finally:
+        sent.destroy()
+    if not rows:
+        raise MixtureError("no rows")
+    return Moments(rows[0]["ll"], *_unpacked(rows, k, d))
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    order = np.lexsort((table["n"].to_numpy(), table["ll"].to_numpy()))  # sums don't depend on arrival
-    arrays = {c: np.stack([v.values.to_numpy() for v in table[c]])[order].sum(axis=0).tolist() for c in ("s", "q")}
-    sums = {c: [float(table[c].to_numpy()[order].sum())] for c in ("ll", "n")}
-    kind = pa.list_(pa.float64())
-    return pa.table({"k": pa.array([table["k"][0].as_py()], pa.int32()), **sums, "s": pa.array([arrays["s"]], kind), "q": pa.array([arrays["q"]], kind)})
+_KIND = "k int, slot long, ll double, n double, s array<double>, q array<double>"
+
+
+def _packed(ll: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    k, d = s.shape
+    upper = np.triu_indices(d)
+    columns = [pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, slot())), pa.array(ll), pa.array(n), lists(s), lists(q[:, upper[0], upper[1]])]
+    return pa.RecordBatch.from_arrays(columns, ["k", "slot", "ll", "n", "s", "q"])
+
+
+def _unpacked(rows: list, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, first, second = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+    for r in rows:
+        n[r["k"]], first[r["k"]] = r["n"], r["s"]
+        second[r["k"]][np.triu_indices(d)] = r["q"]
+    return n, first, second + np.transpose(np.triu(second, 1), (0, 2, 1))
 
 
 def maximize(model: Mixture, m: Moments) -> Mixture:
@@ -131,10 +140,11 @@ def fit(df: DataFrame, start: Mixture, params: EMParams | None = None) -> EMResu
     """Sweeps until the relative change of the log-likelihood is under eps; a decrease stops too and is flagged."""
     p = params or EMParams()
     model, before, history = _checked(start, p), -np.finfo(float).max, []
-    df = df.select("features").persist()
+    df = spread(df.select("features"))
+    tasks = tasks_of(df)
     try:
         for _ in range(p.max_sweeps):
-            m = moments(df, model)
+            m = moments(df, model, tasks)
             model = _checked(maximize(model, m), p)
             change = abs((m.log_likelihood - before) / m.log_likelihood) if m.log_likelihood else 0.0
             fell = m.log_likelihood < before
@@ -147,9 +157,9 @@ def fit(df: DataFrame, start: Mixture, params: EMParams | None = None) -> EMResu
     return EMResult(model, before, history)
 
 
-def jain(df: DataFrame, k: int) -> Mixture:
+def jain(df: DataFrame, k: int, seed: int | None = None) -> Mixture:
     """Equal weights, hash-random rows as means, a tenth of the mean column variance as spherical covariance."""
-    rows = rows_by_hash(df, k)
+    rows = rows_by_hash(df, k, seed)
     means = np.array([r["features"] for r in rows])
     d = means.shape[1]
     trace = covariance_trace(df).first()[0]
@@ -171,28 +181,30 @@ def hard_moments(df: DataFrame, centroids: np.ndarray, regularization: float = 0
                     z = x[mine == j] - c[j]
                     n[j] += len(z)
                     q[j] += z.T @ z
-        packed = [m[np.triu_indices(d)].tolist() for m in q]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.zeros(k)), pa.array(n), pa.array([[0.0]] * k, pa.list_(pa.float64())), pa.array(packed, pa.list_(pa.float64()))], ["k", "ll", "n", "s", "q"])
+        if n.any():
+            yield _packed(np.zeros(k), n, np.zeros((k, d)), q)
 
-    kind = "k int, ll double, n double, s array<double>, q array<double>"
-    rows = sorted(df.select("features").mapInArrow(part, kind).groupBy("k").applyInArrow(_merge, kind).collect(), key=lambda r: r["k"])
-    n = np.array([r["n"] for r in rows])
+    try:
+        rows = merged(df.select("features").mapInArrow(part, _KIND), ("ll", "n"), ("s", "q")).collect()
+    finally:
+        sent.destroy()
+    n, _, second = _unpacked(rows, k, d)
     if (n < 2).any():
         raise MixtureError(f"clusters of fewer than two rows: {np.flatnonzero(n < 2).tolist()}")
-    covs = np.zeros((k, d, d))
-    for r in rows:
-        covs[r["k"]][np.triu_indices(d)] = np.array(r["q"]) / (r["n"] - 1)
-    covs += np.transpose(np.triu(covs, 1), (0, 2, 1))
-    return Mixture(n / n.sum(), centroids, covs).regularized(regularization)
+    return Mixture(n / n.sum(), centroids, second / (n - 1)[:, None, None]).regularized(regularization)
 
 
-def kmeans_start(df: DataFrame, k: int, seeds: str = "forgy", regularization: float = 0.0, seed: int = 1) -> Mixture:
+def kmeans_start(df: DataFrame, k: int, seeds: str = "forgy", regularization: float = 0.0, seed: int | None = 1) -> Mixture:
     """K-means from Forgy or K-means|| seeds, at most 29 steps, then the clusters' moments."""
-    first = kmeans.forgy(df, k) if seeds == "forgy" else kmeans.parallel_seeds(df, k, 1.4, seed)
-    return hard_moments(df, kmeans.run(df, first, 29, 1e-4).centroids, regularization)
+    df = spread(df.select("row_id", "features"))
+    try:
+        first = kmeans.forgy(df, k, seed) if seeds == "forgy" else kmeans.parallel_seeds(df, k, 1.4, seed or 1)
+        return hard_moments(df, kmeans.run(df, first, 29, 1e-4).centroids, regularization)
+    finally:
+        df.unpersist()
 
 
-STARTS = {"jain": jain, "kmeans": kmeans_start, "kmeansoror": lambda df, k: kmeans_start(df, k, "parallel")}
+STARTS = {"jain": jain, "kmeans": kmeans_start, "kmeansoror": lambda df, k, **o: kmeans_start(df, k, "parallel", **o)}
 
 
 def start(df: DataFrame, k: int, name: str = "jain", **options) -> Mixture:
@@ -201,7 +213,41 @@ def start(df: DataFrame, k: int, name: str = "jain", **options) -> Mixture:
     return STARTS[name](df, k, **options)
 
 
+def mahalanobis(df: DataFrame, model: Mixture) -> DataFrame:
+    """row_id, k, maha2: the squared Mahalanobis distance of each row to each component."""
+    inverse, _ = model.factors()
+    sent = df.sparkSession.sparkContext.broadcast((model.means, inverse))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means, inv = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(1))
+                z = np.stack([(((x - m) @ i.T) ** 2).sum(axis=1) for m, i in zip(means, inv, strict=True)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists(z)], ["row_id", "z"])
+
+    found = df.select("row_id", "features").mapInArrow(part, "row_id long, z array<double>")
+    return found.select("row_id", F.posexplode("z").alias("k", "maha2"))
+
+
+def component_log_likelihood(df: DataFrame, model: Mixture) -> DataFrame:
+    """k, ll: the posterior-weighted sum of each component's log joint density."""
+    # gamma_k > 0 gives l_k = ln gamma_k + log density
+    found = posterior_table(df, model).select("log_density", F.posexplode("gamma").alias("k", "g"))
+    part = F.when(F.col("g") > 0, F.col("g") * (F.ln("g") + F.col("log_density"))).otherwise(0.0)
+    return found.groupBy("k").agg(F.sum(part).alias("ll"))
+
+
 def posterior_gram(posteriors: DataFrame, k: int) -> DataFrame:
-    """k1, k2, g: sums of products of posteriors, without a self-join."""
-    pairs = posteriors.select(F.posexplode("gamma").alias("k1", "g1"), "gamma").select("k1", "g1", F.posexplode("gamma").alias("k2", "g2"))
-    return pairs.groupBy("k1", "k2").agg(F.sum(F.col("g1") * F.col("g2")).alias("g"))
+    """k1, k2, g: sums of products of posteriors: a K x K table per task, merged in a tree."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            if batch.num_rows:
+                gamma = matrix(batch.column(0))
+                total += gamma.T @ gamma
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(1, np.int32)), pa.array([slot()]), lists(total.reshape(1, -1))], ["k", "slot", "g"])
+
+    sums = merged(posteriors.select("gamma").mapInArrow(part, "k int, slot long, g array<double>"), (), ("g",))
+    return sums.select(F.posexplode("g").alias("i", "g")).select(F.floor(F.col("i") / k).cast("int").alias("k1"), (F.col("i") % k).cast("int").alias("k2"), "g")

@@ -90,8 +90,10 @@ def bhattacharyya(m1: np.ndarray, c1: np.ndarray, m2: np.ndarray, c2: np.ndarray
 
 
 def mixture_table(spark: SparkSession, m: Mixture) -> DataFrame:
-    rows = [(k, float(m.weights[k]), m.means[k].tolist(), m.covs[k].tolist()) for k in range(m.k)]
-    return spark.createDataFrame(rows, "k int, weight double, mean array<double>, cov array<array<double>>")
+    """k, weight, mean, cov, and the trace and condition number of the covariance."""
+    worst, traces = m.condition_numbers(), m.traces()
+    rows = [(k, float(m.weights[k]), m.means[k].tolist(), m.covs[k].tolist(), float(traces[k]), float(worst[k])) for k in range(m.k)]
+    return spark.createDataFrame(rows, "k int, weight double, mean array<double>, cov array<array<double>>, trace double, condition double")
 
 
 def from_table(df: DataFrame) -> Mixture:
@@ -99,5 +101,10 @@ def from_table(df: DataFrame) -> Mixture:
     return Mixture(*(np.array([r[c] for r in rows], float) for c in ("weight", "mean", "cov")))
 
 
+def centroids_of(df: DataFrame) -> np.ndarray:
+    """The matrix of a table of centroids."""
+    return np.array([r["centroid"] for r in df.orderBy("k").collect()], float)
+
+
 def centroid_table(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(centroids)], "k int, centroid array<double>")

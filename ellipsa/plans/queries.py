@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ellipsa.functions.vectors import constant, dot, squared_distance, squared_norm
+from ellipsa.functions.vectors import dot, squared_distance, squared_norm
 from ellipsa.operators import dataset, em, kmeans
-from ellipsa.operators.model import Mixture, bhattacharyya
-from ellipsa.session import read_table, shared_dir
+from ellipsa.operators.model import Mixture, bhattacharyya, centroid_table, centroids_of, mixture_table
+from ellipsa.operators.partials import spread
+from ellipsa.session import own_dir, read_table
 from ellipsa.sources import binary, models
 
 from .registry import ORACLE, QUERIES, register
@@ -52,8 +53,14 @@ def d2(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
-def seeded(k: int = K, first: int = 0, name: str = "s") -> str:
-    return f"{name} AS MATERIALIZED (SELECT cast(row_number() OVER (ORDER BY h, row_id) - 1 - {first} AS integer) AS k, f FROM (SELECT md5(cast(row_id AS varchar)) AS h, row_id, f FROM x) QUALIFY row_number() OVER (ORDER BY h, row_id) BETWEEN {first + 1} AND {first + k})"
+def draw(text: str) -> str:
+    """U[0, 1) of a text, as ``vectors.uniform`` and ``kmeans.drawn`` have it."""
+    return f"(('0x' || substr(md5({text}), 1, 8))::bigint / 4294967296.0::DOUBLE)"
+
+
+def seeded(k: int = K, first: int = 0, name: str = "s", seed: int | None = None) -> str:
+    key = "cast(row_id AS varchar)" if seed is None else f"'{seed}:' || row_id"
+    return f"{name} AS MATERIALIZED (SELECT cast(row_number() OVER (ORDER BY h, row_id) - 1 - {first} AS integer) AS k, f FROM (SELECT md5({key}) AS h, row_id, f FROM x) QUALIFY row_number() OVER (ORDER BY h, row_id) BETWEEN {first + 1} AND {first + k})"
 
 
 def assigned(centroids: str = "s", name: str = "a") -> str:
@@ -146,15 +153,14 @@ def row_norms(spark, d):
 @register("centroid_pairs", with_(X, seeded()) + f"SELECT a.k AS k1, b.k AS k2, {R.format(d2('a.f', 'b.f'))} AS d2 FROM s a JOIN s b ON a.k < b.k")
 def centroid_pairs(spark, d):
     c = seeds(vecs(spark, d))
-    found = [(i, j, float(((c[i] - c[j]) ** 2).sum())) for i in range(K) for j in range(i + 1, K)]
-    return rows(spark, found, "k1 int, k2 int, d2 double").select("k1", "k2", r6(F.col("d2")).alias("d2"))
+    return rows(spark, kmeans.centroid_distances(c), "k1 int, k2 int, d2 double").select("k1", "k2", r6(F.col("d2")).alias("d2"))
 
 
 @register("centroid_shift", with_(X, seeded(), assigned(), stepped("s", "a", "t")) + f"SELECT s.k, {R.format(d2('s.f', 't.f'))} AS shift2 FROM s JOIN t USING (k)")
 def centroid_shift(spark, d):
     df = vecs(spark, d)
     c = seeds(df)
-    moved = ((kmeans.lloyd_step(df, c).centroids - c) ** 2).sum(axis=1)
+    moved = kmeans.shifts(c, kmeans.lloyd_step(df, c).centroids)
     return rows(spark, [(k, float(v)) for k, v in enumerate(moved)], "k int, v double").select("k", r6(F.col("v")).alias("shift2"))
 
 
@@ -188,7 +194,7 @@ def mse(spark, d):
 def mse_assigned(spark, d):
     df = vecs(spark, d)
     given = df.join(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label"), "row_id")
-    return given.agg(F.avg(squared_distance(F.col("features"), F.get(constant(seeds(df, 10)), F.col("label")))).alias("v")).select(r6(F.col("v")).alias("mse"))
+    return kmeans.error_of(given, seeds(df, 10), "label").select(r6(F.col("mse")).alias("mse"))
 
 
 @register("cluster_sse", with_(X, seeded(), assigned()) + f"SELECT s.k AS cluster, {R.format('coalesce(sum(d2), 0)')} AS sse FROM s LEFT JOIN a ON a.cluster = s.k GROUP BY s.k")
@@ -212,7 +218,7 @@ def centers_by_label(spark, d):
 @register("objects_in_cluster", with_(X, seeded(), assigned()) + "SELECT row_id FROM a WHERE cluster = 2")
 def objects_in_cluster(spark, d):
     df = vecs(spark, d)
-    return kmeans.assign(df, seeds(df)).where("cluster = 2").select("row_id").orderBy("row_id")
+    return kmeans.rows_of_cluster(kmeans.assign(df, seeds(df)), 2)
 
 
 @register("quantize", with_(X, seeded(), assigned()) + f"SELECT row_id, cluster, {R.format('s.f[1]')} AS q1, {R.format('s.f[64]')} AS q64 FROM a JOIN s ON s.k = a.cluster")
@@ -275,18 +281,110 @@ def det_repair(spark, d):
     return centroid_rows(spark, kmeans.lloyd_step(df, np.stack([same, same])).centroids)
 
 
-@register("kmeans_without_mse")
+_twin = "s AS MATERIALIZED (SELECT cast(i AS integer) AS k, f FROM x, range({n}) t(i) WHERE row_id = 7)"
+
+
+def _repaired(n: int, places: str) -> str:
+    """``n`` equal seeds: the first gets all rows, the others become the rows of ``places`` (k, f)."""
+    return with_(X, f"t AS (SELECT 0 AS k, list(m ORDER BY i) AS f FROM (SELECT i, avg(f[i]) AS m FROM x, range(1, 65) u(i) GROUP BY i) UNION ALL {places})") + f"SELECT cast(k AS integer) AS k, cast(i - 1 AS integer) AS pos, {R.format('f[i]')} AS value FROM t, range(1, 65) u(i)"
+
+
+def equal_seeds(df: DataFrame, n: int) -> np.ndarray:
+    return np.stack([dataset.fetch_row(df, 7)] * n)
+
+
+@register("det_repair_next", _repaired(3, "(SELECT row_number() OVER (ORDER BY row_id) - 3 AS k, f FROM x QUALIFY row_number() OVER (ORDER BY row_id) IN (4, 5))"))
+def det_repair_next(spark, d):
+    df = vecs(spark, d)
+    return centroid_rows(spark, kmeans.lloyd_step(df, equal_seeds(df, 3), position=3).centroids)
+
+
+@register("random_repair", _repaired(3, f"(SELECT row_number() OVER (ORDER BY {draw(chr(39) + '4:0:' + chr(39) + ' || row_id')}, row_id) AS k, f FROM x QUALIFY row_number() OVER (ORDER BY {draw(chr(39) + '4:0:' + chr(39) + ' || row_id')}, row_id) <= 2)"))
+def random_repair(spark, d):
+    df = vecs(spark, d)
+    return centroid_rows(spark, kmeans.lloyd_step(df, equal_seeds(df, 3), repair="random", seed=4).centroids)
+
+
+def _lloyd(n: int) -> list[str]:
+    parts = [X, seeded(name="t0")]
+    for i in range(n):
+        parts += [assigned(f"t{i}", f"a{i}"), stepped(f"t{i}", f"a{i}", f"t{i + 1}")]
+    return parts
+
+
+@register("kmeans_without_mse", with_(*_lloyd(20)) + _centroids("t20"))
 def kmeans_without_mse(spark, d):
+    """Stable after fewer than 20 steps, which further steps leave alone."""
     df = vecs(spark, d)
     return centroid_rows(spark, kmeans.run_until_stable(df, seeds(df), 20).centroids)
 
 
-@register("kmeans_relaxed")
+@register("lloyd_report", with_(*_lloyd(3)) + f"SELECT cast(step AS integer) AS step, {R.format('fit')} AS fit, changed FROM (SELECT 1 AS step, avg(d2) AS fit, count(*) FILTER (WHERE cluster <> 0) AS changed FROM a0 UNION ALL SELECT 2, avg(a1.d2), count(*) FILTER (WHERE a0.cluster <> a1.cluster) FROM a0 JOIN a1 USING (row_id) UNION ALL SELECT 3, avg(a2.d2), count(*) FILTER (WHERE a1.cluster <> a2.cluster) FROM a1 JOIN a2 USING (row_id))")
+def lloyd_report(spark, d):
+    df = vecs(spark, d)
+    found = kmeans.run_until_stable(df, seeds(df), 3).report()
+    return rows(spark, found, "step int, fit double, changed long").select("step", r6(F.col("fit")).alias("fit"), "changed")
+
+
+@register("kmeans_from_file", with_(*_lloyd(2)) + _centroids("t2"))
+def kmeans_from_file(spark, d):
+    df = vecs(spark, d)
+    path = _file(spark, "centroids")
+    models.write_centroids(path, seeds(df))
+    return centroid_rows(spark, kmeans.run(df, models.read_centroids(path, K, 64), 2).centroids)
+
+
+def _relaxed(steps: int) -> str:
+    parts = [X, "sd AS MATERIALIZED (SELECT list(s ORDER BY i) AS sd FROM (SELECT i, stddev_samp(f[i]) AS s FROM x, range(1, 65) t(i) GROUP BY i))", seeded(name="t0")]
+    for i in range(steps):
+        noise = draw(f"'1:{i}:' || k || ':' || (i - 1)")
+        parts += [assigned(f"t{i}", f"a{i}"), stepped(f"t{i}", f"a{i}", f"m{i}")]
+        parts.append(f"t{i + 1} AS MATERIALIZED (SELECT k, list_transform(range(1, 65), lambda i: f[i] + ({noise} - 0.5) * sd[i] * sqrt(pow(1 - {i + 1}::DOUBLE / {steps}, 4))) AS f FROM m{i}, sd)")
+    return with_(*parts) + _centroids(f"t{steps}")
+
+
+@register("kmeans_relaxed", _relaxed(4))
 def kmeans_relaxed(spark, d):
     df = vecs(spark, d)
     return centroid_rows(spark, kmeans.run_relaxed(df, seeds(df), 4).centroids)
 
 
+_numbers = "k AS (SELECT cast(i AS integer) AS i, 'n' || i AS t FROM range(20) r(i))"
+
+
+@register("random_numbers", with_(_numbers) + f"SELECT i, {R.format(draw('t'))} AS uniform, {R.format('2 + 3 * sqrt(-2 * ln(1 - ' + draw(chr(116) + ' || chr(58) || chr(48)') + ')) * cos(2 * pi() * ' + draw(chr(116) + ' || chr(58) || chr(49)') + ')')} AS normal, {R.format('1 + 2 * tan(pi() * (' + draw('t') + ' - 0.5))')} AS cauchy FROM k")
+def random_numbers(spark, d):
+    made = [(i, kmeans.drawn(f"n{i}"), kmeans.normal(f"n{i}", 2.0, 3.0), kmeans.cauchy(f"n{i}", 1.0, 2.0)) for i in range(20)]
+    return rows(spark, made, "i int, a double, b double, c double").select("i", r6(F.col("a")).alias("uniform"), r6(F.col("b")).alias("normal"), r6(F.col("c")).alias("cauchy"))
+
+
+# row access and tables of the driver
+
+
+@register("fetch_row", "SELECT cast(i - 1 AS integer) AS pos, " + R.format("embedding[i]::DOUBLE") + " AS value FROM embeddings, range(1, 65) t(i) WHERE vec_id = 17")
+def fetch_row(spark, d):
+    v = dataset.fetch_row(vecs(spark, d), 17)
+    return rows(spark, [(i, float(a)) for i, a in enumerate(v)], "pos int, v double").select("pos", r6(F.col("v")).alias("value"))
+
+
+@register("in_memory", with_(X, seeded(8)) + f"SELECT cast(k AS bigint) AS row_id, {R.format('f[1]')} AS x1, {R.format('f[64]')} AS x64 FROM s")
+def in_memory(spark, d):
+    df = dataset.from_array(spark, seeds(vecs(spark, d), 8))
+    return df.select("row_id", r6(x(1)).alias("x1"), r6(x(64)).alias("x64"))
+
+
+@register("centroid_dataset", with_(X, seeded()) + f"SELECT cast(k AS bigint) AS row_id, {R.format('list_sum(list_transform(f, lambda v: v * v))')} AS norm2 FROM s")
+def centroid_dataset(spark, d):
+    table = centroid_table(spark, seeds(vecs(spark, d)))
+    df = dataset.from_array(spark, centroids_of(table))
+    return df.select("row_id", r6(squared_norm(F.col("features"))).alias("norm2"))
+
+
+@register("partition_counts", "SELECT 0 AS part, count(*) AS n FROM embeddings")
+def partition_counts(spark, d):
+    return dataset.partition_counts(vecs(spark, d).coalesce(1))
+
+
 # seeding
 
 _closest = with_(X, seeded(2), seeded(3, 2, "n"), assigned("s", "a"), assigned("n", "b"), "c AS MATERIALIZED (SELECT row_id, least(a.d2, b.d2) AS d2, cast(CASE WHEN b.d2 < a.d2 THEN b.cluster + 2 ELSE a.cluster END AS integer) AS k FROM a JOIN b USING (row_id))")
@@ -346,25 +444,74 @@ def random_partition_init(spark, d):
 _trial = "c AS MATERIALIZED (SELECT cast((k - k % 16) / 16 AS integer) AS round, k % 16 AS n, f FROM s)"
 
 
-@register(
-    "mindist_init",
-    with_(X, seeded(48), _trial, "g AS (SELECT list(m ORDER BY i) AS f FROM (SELECT i, avg(f[i]) AS m FROM x, range(1, 65) t(i) GROUP BY i))")[:-1]
-    + ",\n"
-    + f"""c0 AS MATERIALIZED (SELECT c.f FROM c, g WHERE round = 0 ORDER BY {d2('c.f', 'g.f')}, n LIMIT 1),
+def _min_dist(seed: int | None = None) -> str:
+    first = with_(X, seeded(48, seed=seed), _trial, "g AS (SELECT list(m ORDER BY i) AS f FROM (SELECT i, avg(f[i]) AS m FROM x, range(1, 65) t(i) GROUP BY i))")[:-1]
+    return f"""{first},
+c0 AS MATERIALIZED (SELECT c.f FROM c, g WHERE round = 0 ORDER BY {d2('c.f', 'g.f')}, n LIMIT 1),
 c1 AS MATERIALIZED (SELECT c.f FROM c, c0 WHERE round = 1 ORDER BY {d2('c.f', 'c0.f')} DESC, n LIMIT 1),
 c2 AS MATERIALIZED (SELECT c.f FROM c, c0, c1 WHERE round = 2 ORDER BY least({d2('c.f', 'c0.f')}, {d2('c.f', 'c1.f')}) DESC, n LIMIT 1),
 z AS (SELECT 0 AS k, f FROM c0 UNION ALL SELECT 1, f FROM c1 UNION ALL SELECT 2, f FROM c2)
-SELECT cast(k AS integer) AS k, cast(i - 1 AS integer) AS pos, {R.format('f[i]')} AS value FROM z, range(1, 65) t(i)""",
-)
+SELECT cast(k AS integer) AS k, cast(i - 1 AS integer) AS pos, {R.format('f[i]')} AS value FROM z, range(1, 65) t(i)"""
+
+
+@register("mindist_init", _min_dist())
 def mindist_init(spark, d):
     return centroid_rows(spark, kmeans.min_dist(vecs(spark, d), 3))
 
 
-@register("kmeans_parallel_init")
+@register("mindist_seed", _min_dist(9))
+def mindist_seed(spark, d):
+    return centroid_rows(spark, kmeans.min_dist(vecs(spark, d), 3, seed=9))
+
+
+def _plus_plus(candidates: str, k: int, seed: int) -> tuple[list[str], str]:
+    """CTEs of the weighted choice of ``k`` of the candidates (id, f, w), and the query of the chosen centres."""
+    first = f"p0 AS MATERIALIZED (SELECT f FROM {candidates} WHERE id = floor({draw(f"'{seed}:0'")} * (SELECT count(*) FROM {candidates})))"
+    parts = [first, f"d0 AS MATERIALIZED (SELECT id, c.f, w, {d2('c.f', 'p0.f')} AS d FROM {candidates} c, p0)"]
+    for i in range(1, k):
+        parts.append(f"p{i} AS MATERIALIZED (SELECT f FROM (SELECT id, f, sum(d * w) OVER (ORDER BY id) / sum(d * w) OVER () AS cdf FROM d{i - 1}) WHERE cdf >= {draw(f"'{seed}:{i}'")} ORDER BY id LIMIT 1)")
+        parts.append(f"d{i} AS MATERIALIZED (SELECT id, c.f, w, least(d, {d2('c.f', f'p{i}.f')}) AS d FROM d{i - 1} c, p{i})")
+    parts.append("z AS (" + " UNION ALL ".join(f"SELECT cast({i} AS integer) AS k, f FROM p{i}" for i in range(k)) + ")")
+    return parts, _centroids("z")
+
+
+_pp, _pp_out = _plus_plus("c", 4, 3)
+
+
+@register("plus_plus_init", with_(X, seeded(40), "c AS MATERIALIZED (SELECT cast(k AS integer) AS id, f, k + 1 AS w FROM s)", *_pp) + _pp_out)
+def plus_plus_init(spark, d):
+    return centroid_rows(spark, kmeans.plus_plus(seeds(vecs(spark, d), 40), 4, np.arange(1, 41), seed=3))
+
+
+def _parallel(k: int, seed: int, rounds: int = 5) -> str:
+    key = f"'{seed}:' || row_id"
+    parts = [X, f"f0 AS MATERIALIZED (SELECT 0 AS id, f FROM x ORDER BY {draw(key)}, row_id LIMIT 1)", f"n0 AS MATERIALIZED (SELECT row_id, x.f, {d2('x.f', 'f0.f')} AS d, 0 AS c FROM x, f0)"]
+    for r in range(rounds):
+        key = f"'{seed * 1000 + r + 1}:' || row_id"
+        parts.append(f"v{r} AS MATERIALIZED (SELECT cast(row_number() OVER (ORDER BY row_id) - 1 + (SELECT count(*) FROM f{r}) AS integer) AS id, f FROM n{r} WHERE {draw(key)} < least(1, d * (1.4::DOUBLE * {k} / (SELECT sum(d) FROM n{r}))))")
+        parts.append(f"f{r + 1} AS MATERIALIZED (SELECT * FROM f{r} UNION ALL SELECT * FROM v{r})")
+        parts.append(f"b{r} AS MATERIALIZED (SELECT row_id, id, d FROM (SELECT n.row_id, v.id, {d2('n.f', 'v.f')} AS d FROM n{r} n, v{r} v) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d, id) = 1)")
+        parts.append(f"n{r + 1} AS MATERIALIZED (SELECT n.row_id, n.f, least(n.d, coalesce(b.d, n.d)) AS d, CASE WHEN b.d < n.d THEN b.id ELSE n.c END AS c FROM n{r} n LEFT JOIN b{r} b USING (row_id))")
+    parts.append(f"cand AS MATERIALIZED (SELECT id, f, (SELECT count(*) FROM n{rounds} WHERE c = id) AS w FROM f{rounds})")
+    chosen, out = _plus_plus("cand", k, seed)
+    return with_(*parts, *chosen) + out
+
+
+@register("kmeans_parallel_init", _parallel(K, 1))
 def kmeans_parallel_init(spark, d):
     return centroid_rows(spark, kmeans.parallel_seeds(vecs(spark, d), K))
 
 
+@register("kmeans_parallel_seed", _parallel(3, 7))
+def kmeans_parallel_seed(spark, d):
+    return centroid_rows(spark, kmeans.parallel_seeds(vecs(spark, d), 3, seed=7))
+
+
+@register("forgy_seed", with_(X, seeded(seed=5)) + _centroids("s"))
+def forgy_seed(spark, d):
+    return centroid_rows(spark, kmeans.forgy(vecs(spark, d), K, seed=5))
+
+
 def mixture_rows(spark, m: Mixture) -> DataFrame:
     """k, weight, mean and the lower triangle of the covariance of two-dimensional components."""
     found = [(k, float(m.weights[k]), *map(float, m.means[k]), float(m.covs[k][0, 0]), float(m.covs[k][1, 0]), float(m.covs[k][1, 1])) for k in range(m.k)]
@@ -378,7 +525,11 @@ def _mixture(name: str) -> str:
 
 # two-dimensional mixtures in SQL
 
-START = f"{seeded(3)}, tr AS MATERIALIZED (SELECT (var_samp(x1) + var_samp(x2)) / 20 AS v FROM x), g0 AS MATERIALIZED (SELECT k, 1.0::DOUBLE / 3 AS weight, f[1] AS m1, f[2] AS m2, v AS c11, 0.0::DOUBLE AS c12, v AS c22 FROM s, tr)"
+def _start(seed: int | None = None) -> str:
+    return f"{seeded(3, seed=seed)}, tr AS MATERIALIZED (SELECT (var_samp(x1) + var_samp(x2)) / 20 AS v FROM x), g0 AS MATERIALIZED (SELECT k, 1.0::DOUBLE / 3 AS weight, f[1] AS m1, f[2] AS m2, v AS c11, 0.0::DOUBLE AS c12, v AS c22 FROM s, tr)"
+
+
+START = _start()
 
 
 def estep(model: str, name: str) -> str:
@@ -418,6 +569,11 @@ def jain_init(spark, d):
     return mixture_rows(spark, em.jain(vecs(spark, d, 2), 3))
 
 
+@register("jain_seed", with_(X2, _start(6)) + _mixture("g0"))
+def jain_seed(spark, d):
+    return mixture_rows(spark, em.jain(vecs(spark, d, 2), 3, seed=6))
+
+
 @register("em_sweep", sweeps(1) + _mixture("g1"))
 def em_sweep(spark, d):
     return mixture_rows(spark, one(spark, d)[1])
@@ -456,31 +612,12 @@ def gmm_classify(spark, d):
 
 @register("mahalanobis_2d", _one + ",\n" + estep("g1", "e") + f"\nSELECT row_id, k, {R.format('maha')} AS maha2 FROM e")
 def mahalanobis_2d(spark, d):
-    df, m = one(spark, d)
-    inverse, _ = m.factors()
-    each = [F.struct(F.lit(k).alias("k"), _maha(inverse[k], m.means[k]).alias("v")) for k in range(m.k)]
-    return df.select("row_id", F.explode(F.array(*each)).alias("s")).select("row_id", "s.k", r6(F.col("s.v")).alias("maha2"))
-
-
-def _maha(inverse: np.ndarray, mean: np.ndarray):
-    """Squared norm of the triangular factor times the centred row, as a column."""
-    centred = [x(i + 1) - F.lit(float(v)) for i, v in enumerate(mean)]
-    total = F.lit(0.0)
-    for i in range(len(mean)):
-        z = F.lit(0.0)
-        for j in range(i + 1):
-            z = z + F.lit(float(inverse[i, j])) * centred[j]
-        total = total + z * z
-    return total
+    return em.mahalanobis(*one(spark, d)).select("row_id", "k", r6(F.col("maha2")).alias("maha2"))
 
 
 @register("component_ll", _one + ",\n" + estep("g1", "e") + "\nSELECT k, round(sum(exp(l - lse) * l), 5) + 0.0 AS ll FROM e GROUP BY k")
 def component_ll(spark, d):
-    df, m = one(spark, d)
-    # gamma_k > 0 gives l_k = ln gamma_k + log density
-    found = em.posterior_table(df, m).select("log_density", F.posexplode("gamma").alias("k", "g"))
-    part = F.when(F.col("g") > 0, F.col("g") * (F.ln("g") + F.col("log_density"))).otherwise(0.0)
-    return found.groupBy("k").agg(F.sum(part).alias("v")).select("k", (F.round("v", 5) + F.lit(0.0)).alias("ll"))
+    return em.component_log_likelihood(*one(spark, d)).select("k", (F.round("ll", 5) + F.lit(0.0)).alias("ll"))
 
 
 @register("posterior_gram", _one + ",\n" + estep("g1", "e") + f"\nSELECT a.k AS k1, b.k AS k2, {R.format('sum(exp(a.l - a.lse) * exp(b.l - b.lse))')} AS g FROM e a JOIN e b USING (row_id) GROUP BY a.k, b.k")
@@ -527,6 +664,11 @@ def cond_2d(spark, d):
     return rows(spark, [(k, float(v)) for k, v in enumerate(one(spark, d)[1].condition_numbers())], "k int, v double").select("k", r6(F.col("v")).alias("cond"))
 
 
+@register("model_table", _one + f"\nSELECT k, {R.format('weight')} AS weight, {R.format('c11 + c22')} AS trace, {R.format(f'abs((c11 + c22 + {_root}) / (c11 + c22 - {_root}))')} AS condition FROM g1")
+def model_table(spark, d):
+    return mixture_table(spark, one(spark, d)[1]).select("k", *[r6(F.col(c)).alias(c) for c in ("weight", "trace", "condition")])
+
+
 @register("max_cond_2d", _one + f"\nSELECT {R.format(f'max(abs((c11 + c22 + {_root}) / (c11 + c22 - {_root})))')} AS cond FROM g1")
 def max_cond_2d(spark, d):
     return cond_2d(spark, d).agg(F.max("cond").alias("cond"))
@@ -592,20 +734,72 @@ def em_kmeansoror_64d(spark, d):
     return rows(spark, [(k, float(m.weights[k]), float(m.traces()[k])) for k in range(3)], "k int, weight double, trace double")
 
 
+MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def measures(spark, d, key: str, id_col) -> DataFrame:
+    df = dataset.from_columns(read_table(spark, d, "lineitem").withColumn("id", id_col), key, MEASURES)
+    return spread(df)
+
+
 @register("em_lineitem")
 def em_lineitem(spark, d):
     """Three components over four standardized columns of all line items; the long table of the bench."""
-    df = dataset.from_columns(read_table(spark, d, "lineitem").withColumn("id", F.xxhash64("*")), "id", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    df = dataset.standardized(df)
-    m = em.fit(df, em.jain(df, 3), em.EMParams(max_sweeps=5, eps=1e-300, regularization=0.001)).model
+    df = measures(spark, d, "id", F.xxhash64("*"))
+    z = spread(dataset.standardized(df))
+    m = em.fit(z, em.jain(z, 3), em.EMParams(max_sweeps=5, eps=1e-300, regularization=0.001)).model
+    z.unpersist(), df.unpersist()
     return rows(spark, [(k, float(m.weights[k]), m.means[k].tolist()) for k in range(3)], "k int, weight double, mean array<double>")
 
 
+def _four(n: int, g: float = 0.001) -> str:
+    """``n`` sweeps over the four measures in SQL, from equal weights, the means of the return flags and a tenth of the variance."""
+    z = ", ".join(f"({c}::DOUBLE - avg({c}::DOUBLE) OVER ()) / stddev_samp({c}::DOUBLE) OVER () AS x{i + 1}" for i, c in enumerate(MEASURES))
+    four, low = range(1, 5), [(i, j) for i in range(1, 5) for j in range(1, i + 1)]
+    parts = [f"x AS MATERIALIZED (SELECT row_number() OVER () AS row_id, l_returnflag AS flag, {z} FROM lineitem)"]
+    parts.append("tr AS MATERIALIZED (SELECT (" + " + ".join(f"var_samp(x{i})" for i in four) + ") / 40 AS v FROM x)")
+    parts.append("g0 AS MATERIALIZED (SELECT cast(row_number() OVER (ORDER BY flag) - 1 AS integer) AS k, 1.0::DOUBLE / 3 AS weight, " + ", ".join(f"avg(x{i}) AS m{i}" for i in four) + ", " + ", ".join(("any_value(v)" if i == j else "0.0::DOUBLE") + f" AS c{i}{j}" for i, j in low) + " FROM x, tr GROUP BY flag)")
+    for s in range(n):
+        steps = []
+        for i, j in [(i, j) for j in four for i in range(j, 5)]:
+            rest = "".join(f" - l{i}{m} * l{j}{m}" for m in range(1, j))
+            steps.append(f"sqrt(c{i}{i}{rest}) AS l{i}{i}" if i == j else f"(c{i}{j}{rest}) / l{j}{j} AS l{i}{j}")
+        parts.append(f"h{s} AS MATERIALIZED (SELECT *, {', '.join(steps)} FROM g{s})")
+        zs = [f"(x{i} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(1, i)) + f") / l{i}{i} AS z{i}" for i in four]
+        parts.append(f"e{s} AS MATERIALIZED (SELECT *, exp(l - mx) / sum(exp(l - mx)) OVER (PARTITION BY row_id) AS w FROM (SELECT *, max(l) OVER (PARTITION BY row_id) AS mx FROM (SELECT row_id, k, x1, x2, x3, x4, {', '.join(zs)}, ln(weight) - 2 * ln(2 * pi()) - ln(l11 * l22 * l33 * l44) - 0.5 * (z1 * z1 + z2 * z2 + z3 * z3 + z4 * z4) AS l FROM x, h{s})))")
+        parts.append(f"m{s} AS MATERIALIZED (SELECT k, sum(w) AS n, " + ", ".join(f"sum(w * x{i}) / sum(w) AS m{i}" for i in four) + f" FROM e{s} GROUP BY k)")
+        parts.append(f"v{s} AS MATERIALIZED (SELECT k, any_value(n) AS n, " + ", ".join(f"any_value(m{i}) AS m{i}" for i in four) + ", " + ", ".join(f"sum(w * (x{i} - m{i}) * (x{j} - m{j})) / any_value(n) AS s{i}{j}" for i, j in low) + f" FROM e{s} JOIN m{s} USING (k) GROUP BY k)")
+        trace = " + ".join(f"s{i}{i}" for i in four)
+        parts.append(f"g{s + 1} AS MATERIALIZED (SELECT k, n / (SELECT count(*) FROM x) AS weight, m1, m2, m3, m4, " + ", ".join(f"(1 - {g}::DOUBLE) * s{i}{j}" + (f" + {g}::DOUBLE * ({trace}) / 4" if i == j else "") + f" AS c{i}{j}" for i, j in low) + f" FROM v{s})")
+    return with_(*parts) + f"SELECT k, {', '.join(R.format(c) + ' AS ' + c for c in ('weight', 'm1', 'm2', 'm3', 'm4', 'c11', 'c21', 'c33', 'c44'))} FROM g{n}"
+
+
+@register("em_lineitem_flags", _four(3))
+def em_lineitem_flags(spark, d):
+    """Three sweeps over all line items, started from the return flags."""
+    flags = read_table(spark, d, "lineitem").select("l_returnflag").distinct().orderBy("l_returnflag").collect()
+    where = F.lit(0)
+    for i, r in enumerate(flags):
+        where = F.when(F.col("l_returnflag") == r[0], i).otherwise(where)
+    df = measures(spark, d, "id", where.cast("long"))  # the id is the flag's number
+    z = spread(dataset.standardized(df))
+    means = np.full((len(flags), 4), np.nan)
+    for r in kmeans.group_means(z, "row_id").collect():
+        means[r["row_id"], r["pos"]] = r["mean"]
+    trace = dataset.covariance_trace(z).first()[0]
+    start = Mixture(np.full(3, 1 / 3), means, np.repeat((trace / 40 * np.eye(4))[None], 3, axis=0))
+    m = em.fit(z, start, em.EMParams(max_sweeps=3, eps=1e-300, regularization=0.001)).model
+    z.unpersist(), df.unpersist()
+    found = [(k, float(m.weights[k]), *map(float, m.means[k]), *(float(m.covs[k][i, j]) for i, j in ((0, 0), (1, 0), (2, 2), (3, 3)))) for k in range(3)]
+    names = ("weight", "m1", "m2", "m3", "m4", "c11", "c21", "c33", "c44")
+    return rows(spark, found, "k int, " + ", ".join(f"{n} double" for n in names)).select("k", *[r6(F.col(n)).alias(n) for n in names])
+
+
 # binary files: each table is written to the shared folder and read again
 
 
 def _file(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(spark: SparkSession, d: str) -> str:
@@ -638,6 +832,13 @@ def class_file(spark, d):
     return binary.read_classes(spark, path)
 
 
+@register("gmm_class_file", ORACLE["gmm_classify"])
+def gmm_class_file(spark, d):
+    path = _file(spark, "classes")
+    binary.write_classes(gmm_classify(spark, d), path)
+    return binary.read_classes(spark, path)
+
+
 @register("mixture_file", ORACLE["em_sweep"])
 def mixture_file(spark, d):
     path = _file(spark, "mixture")

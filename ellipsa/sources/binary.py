@@ -7,8 +7,9 @@
     df.orderBy("row_id").write.format("vecbin").mode("overwrite").save(folder)
 
 A reading task takes a byte range; nothing but headers is read on the driver. A row's id is its place in the file or, in a folder of
-part files, in the folder. A writing task writes one part with a header of its own, under a temporary name until all have ended, so lost
-and repeated tasks leave nothing behind. ``join_parts`` makes one file of a folder.
+part files, in the folder. A writing task writes one part with a header of its own. Once all have ended, the list of the folder's parts is
+replaced, which is when the new table takes the place of the old one; then what the list doesn't name is deleted: older parts and what lost or
+repeated tasks have left. One writer at a time may write a folder. ``join_parts`` makes one file of a folder.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .files import INT_MAX, FormatError, header_bytes, located, parts_of
+from .files import INT_MAX, FormatError, header_bytes, listed, located, parts_of, write_list
 
 #: Bytes of one reading task, and of one batch.
 TASK_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
@@ -102,7 +103,8 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = located(self.path)
         system.create_dir(folder, recursive=True)
-        task, name = TaskContext.get().partitionId(), f"{folder}/_{uuid.uuid4().hex}"
+        task = TaskContext.get().partitionId()
+        name = f"{folder}/part-{task:010d}-{uuid.uuid4().hex}"
         rows, cols = 0, None
         # the number of rows is known at the end, and stores can't write backwards: the records wait in a part of their own
         with system.open_output_stream(f"{name}.body") as out:
@@ -134,15 +136,14 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, folder = located(self.path)
         system.create_dir(folder, recursive=True)
-        old = [i.path for i in system.get_file_info(FileSelector(folder)) if i.base_name.startswith("part-")]
-        if old and not self.overwrite:
+        if not self.overwrite and listed(system, folder):
             self.abort(messages)
             raise FileExistsError(self.path)
-        for path in old:
-            system.delete_file(path)
-        for m in messages:
-            if m and m.rows:
-                system.move(m.name, f"{folder}/part-{m.task:06d}")
+        names = [m.name.rpartition("/")[2] for m in sorted((m for m in messages if m and m.rows), key=lambda m: m.task)]
+        write_list(system, folder, names)
+        for info in system.get_file_info(FileSelector(folder)):
+            if info.base_name.startswith("part-") and info.base_name not in names:
+                system.delete_file(info.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = located(self.path)

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyarrow import fs
 
 INT_MAX = (1 << 31) - 1
+#: The file of a folder that names its parts, a line each, in order.
+LIST = "_parts"
 
 
 class FormatError(ValueError):
@@ -59,15 +61,34 @@ def read_header(system: fs.FileSystem, path: str, vectors: bool) -> Part:
     return Part(path, n, rows, cols)
 
 
+def listed(system: fs.FileSystem, folder: str) -> list[str]:
+    """The names of a folder's parts: those of its list or, where there is none, all part files in order of their names."""
+    if system.get_file_info(f"{folder}/{LIST}").type == fs.FileType.File:
+        with system.open_input_file(f"{folder}/{LIST}") as f:
+            return f.read().decode().split()
+    return sorted(i.base_name for i in system.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.File and i.base_name.startswith("part-") and not i.base_name.endswith(".body"))
+
+
+def write_list(system: fs.FileSystem, folder: str, names: list[str]) -> None:
+    """Replaces the list as a whole: it is written beside and moved."""
+    with system.open_output_stream(f"{folder}/{LIST}.new") as out:
+        out.write("\n".join(names).encode())
+    if system.type_name in ("local", "s3", "gcs", "abfs"):  # where a move replaces
+        system.move(f"{folder}/{LIST}.new", f"{folder}/{LIST}")
+    else:
+        system.copy_file(f"{folder}/{LIST}.new", f"{folder}/{LIST}")
+        system.delete_file(f"{folder}/{LIST}.new")
+
+
 def parts_of(path: str, vectors: bool) -> list[Part]:
-    """The file itself, or the part files of a folder in order of their names. Only headers are read."""
+    """The file itself, or the part files of a folder in order. Only headers are read."""
     system, inner = located(path)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     names = [inner]
     if info.type == fs.FileType.Directory:
-        names = sorted(i.path for i in system.get_file_info(fs.FileSelector(inner)) if i.type == fs.FileType.File and i.base_name.startswith("part-"))
+        names = [f"{inner}/{name}" for name in listed(system, inner)]
     found = [read_header(system, name, vectors) for name in names]
     if len({p.cols for p in found if p.rows}) > 1:
         raise FormatError(f"{path}: parts of different widths")

@@ -3,8 +3,10 @@
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from ellipsa.operators import dataset, em, kmeans
+from ellipsa.operators import dataset, em, kmeans, partials
 from ellipsa.operators.model import Mixture, MixtureError, bhattacharyya, from_table, mixture_table
 from ellipsa.plans.queries import ORACLE, QUERIES
 
@@ -59,10 +61,92 @@ def test_lloyd_and_repair(blobs):
     assert all(b <= a + 1e-12 for a, b in zip(fits, fits[1:], strict=False))
     far = np.array([x.mean(axis=0), [1e6] * 3])
     assert np.allclose(kmeans.lloyd_step(df, far).centroids[1], x[0])
-    big = np.tile(kmeans.forgy(df, 3), (80, 1))  # by numpy instead of a constant of the plan
+    big = np.tile(kmeans.forgy(df, 3), (80, 1))
     assert [r.cluster for r in kmeans.assign(df, big).orderBy("row_id").collect()] == [r.cluster for r in kmeans.assign(df, big[:3]).orderBy("row_id").collect()]
 
 
+@pytest.mark.parametrize(("k", "d"), [(2, 3), (40, 3), (300, 3), (3, 400)])
+def test_near_ties_go_the_same_way_whatever_the_size(spark, k, d):
+    """Centroids at mirrored places are equally near in exact arithmetic; distances are summed from the first dimension on, for few numbers and many."""
+    rng = np.random.default_rng(k)
+    c = rng.standard_normal((k, d)) * 0.1 + 0.3
+    c[1::2] = -c[: len(c[1::2]) * 2 : 2]
+    x = np.concatenate([np.zeros((5, d)), rng.standard_normal((60, d)), c[:5], 1e9 + rng.standard_normal((20, d))])
+    full = np.zeros((len(x), k))
+    for j in range(d):
+        full += (x[:, j : j + 1] - c[:, j]) * (x[:, j : j + 1] - c[:, j])
+    mine, d2 = kmeans.numpy_nearest(x, c)
+    assert (mine == full.argmin(axis=1)).all() and (d2 == full.min(axis=1)).all()
+    df = dataset.from_array(spark, x).repartition(3)
+    assert [(r.cluster, r.d2) for r in kmeans.assign(df, c).orderBy("row_id").collect()] == list(zip(mine.tolist(), d2.tolist(), strict=True))
+    assert kmeans.lloyd_step(df, c).counts.tolist() == np.bincount(mine, minlength=k).tolist()
+
+
+def test_repairs_go_on_from_step_to_step(blobs):
+    x, df = blobs
+    same = np.stack([x[9]] * 3)
+    first = kmeans.lloyd_step(df, same)
+    assert first.position == 2 and np.allclose(first.centroids[1:], x[:2])
+    second = kmeans.lloyd_step(df, same, position=first.position)
+    assert second.position == 4 and np.allclose(second.centroids[1:], x[2:4])
+    last = kmeans.lloyd_step(df, same, position=449)
+    assert last.position == 1 and np.allclose(last.centroids[1:], x[[449, 0]])
+    with pytest.raises(ValueError):
+        kmeans.lloyd_step(df, same, repair="none")
+
+
+def test_stops_once_nothing_changes(blobs):
+    _, df = blobs
+    out = kmeans.run_until_stable(df, kmeans.forgy(df, 3))
+    assert out.changed[-1] == 0 and all(out.changed[1:-1]) and len(out.changed) < 100
+    assert [r[0] for r in out.report()] == list(range(1, len(out.changed) + 1))
+
+
+def test_merging_tree(spark):
+    parts = spark.range(0, 5000, 1, 7).selectExpr("cast(id % 3 as int) k", "id slot", "double(id) n", "array(double(id), 1d) v")
+    for tasks in (None, 10, 100, 5000):
+        got = {r.k: (r.n, r.v) for r in partials.merged(parts, ("n",), ("v",), tasks).collect()}
+        assert got == {k: (float(sum(range(k, 5000, 3))), [float(sum(range(k, 5000, 3))), float(len(range(k, 5000, 3)))]) for k in range(3)}
+
+
+def test_statistics_edges(spark):
+    one = dataset.from_array(spark, np.array([[1.5, -2.0]]))
+    assert [tuple(r) for r in dataset.column_statistics(one).orderBy("pos").collect()] == [(0, 1.5, None, None, 1.5, 1.5), (1, -2.0, None, None, -2.0, -2.0)]
+    assert dataset.column_statistics(one.limit(0)).count() == 0
+    far = dataset.from_array(spark, 1e9 + np.arange(300.0).reshape(100, 3)).repartition(8)
+    assert np.isclose(dataset.column_statistics(far).where("pos = 0").first()["variance"], np.var(np.arange(0, 300, 3.0), ddof=1), rtol=1e-9)
+    with pytest.raises(KeyError):
+        dataset.fetch_row(one, 5)
+    assert dataset.select_rows(one, [0] * 3000).count() == 3000
+
+
+def test_draws():
+    u = np.array([kmeans.drawn(str(i)) for i in range(4000)])
+    g = np.array([kmeans.normal(str(i), 5, 2) for i in range(4000)])
+    c = np.array([kmeans.cauchy(str(i), 1, 3) for i in range(4000)])
+    assert 0 <= u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.02 and abs(g.mean() - 5) < 0.15 and abs(g.std() - 2) < 0.1 and abs(np.median(c) - 1) < 0.3
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 5), st.integers(1, 4), st.integers(0, 10_000))
+def test_mixture_algebra(k, d, seed):
+    """Normalized weights, regularized traces, split then merge, and densities against the formula."""
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((k, d, d + 2))
+    m = Mixture(rng.random(k) + 0.1, rng.standard_normal((k, d)), a @ np.transpose(a, (0, 2, 1)) + 0.1 * np.eye(d))
+    assert np.isclose(m.normalized().weights.sum(), 1) and np.allclose(m.regularized(0.3).traces(), m.traces())
+    back = m.split(0, (m.weights[0], m.means[0], m.covs[0]), (0.5, m.means[0], m.covs[0])).merged(0, k, (m.weights[0], m.means[0], m.covs[0]))
+    assert (back.weights == m.weights).all() and (back.covs == m.covs).all()
+    x = rng.standard_normal(d)
+    for j in range(k):
+        z = x - m.means[j]
+        want = np.log(m.weights[j]) - 0.5 * (d * np.log(2 * np.pi) + np.linalg.slogdet(m.covs[j])[1] + z @ np.linalg.solve(m.covs[j], z))
+        assert np.isclose(m.log_joint(x[None])[0, j], want, rtol=1e-7, atol=1e-7)
+    assert bhattacharyya(m.means[0], m.covs[0], m.means[-1], m.covs[-1]) >= 0
+
+
+
+
 def test_seeding(blobs):
     x, df = blobs
     a, b = kmeans.parallel_seeds(df, 3, seed=4), kmeans.parallel_seeds(df.repartition(5), 3, seed=4)
@@ -87,12 +171,17 @@ def test_named_errors_and_tables(spark, blobs):
     assert dataset.layout(df, 7).agg({"n": "sum"}).first()[0] == 450
 
 
-@pytest.mark.parametrize("name", ["column_stats", "classify_dist", "lloyd_step", "em_fit_2d", "posterior_gram", "kmeans_mixture", "det_repair", "partition_layout", "bhatt_2d", "vecbin_scan", "vecbin_range", "vecbin_header", "class_file", "mixture_file", "centroid_file"])
-def test_query_matches_sql(spark, name):
+@pytest.fixture(scope="module")
+def tables():
     con = duckdb.connect()
     for t in ("embeddings", "lineitem", "events"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
-    want = con.execute(ORACLE[name]).df()
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, tables, name):
+    want = tables.execute(ORACLE[name]).df()
     got = QUERIES[name](spark, DATA).toPandas()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
