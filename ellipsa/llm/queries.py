@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import ann, bpe, chat_format, language_id, line_dedup, packing, quality_classifier, quality_rules, simhash, sql, url_filter
-from .common import crc_mod, read_table
+from .common import crc_mod, materialise, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = dict(sql.ORACLE)
@@ -103,3 +104,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs)
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 counts, without the learned verdict: SQL can express it."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.apply_rules(docs, [])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+@query
+def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every packing: each document whole, no sequence too long, no gap and no overlap."""
+    packed = materialise(op9_packing(spark, sf_dir), "packed")
+    ends = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1))  # a sequence has max_len pieces at most
+    places = packed.select((F.col("offset") != F.coalesce(ends, F.lit(0))).alias("off"), (F.col("offset") + F.col("length") > packing.MAX_LEN).alias("over"))
+    wrong = places.agg(F.count_if("off").alias("misplaced"), F.count_if("over").alias("too_long"))
+    docs = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), (F.max("piece") + 1).alias("pieces"), F.count(F.lit(1)).alias("rows"))
+    whole = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") != F.col("end")) | (F.col("pieces") != F.col("rows"))).alias("torn"))
+    both = wrong.unionByName(whole, allowMissingColumns=True)  # a row each
+    return both.agg(*[F.sum(c).alias(c) for c in ("misplaced", "too_long", "documents", "torn")])

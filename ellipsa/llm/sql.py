@@ -76,3 +76,23 @@ pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
 SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+_word = r"[^\x20\x09-\x0D]+"
+ORACLE["quality_statistics"] = rf"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT row, doc_id, text, regexp_extract_all(text, '{_word}') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_word}')) AS lines FROM t),
+windows AS MATERIALIZED (
+  SELECT row, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+twice AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, a, b, c) > 1),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY row)
+SELECT doc_id, cast(len(words) AS bigint) AS n_words, cast(length(array_to_string(words, '')) AS bigint) AS word_chars,
+  cast(len(regexp_extract_all(text, '[#*$%&|<>]')) AS bigint) AS n_symbols,
+  cast(len(lines) - len(list_distinct(lines)) AS bigint) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  len(words) < 50 OR 100 * coalesce(n, 0) > 50 * len(words) AS base_failed
+FROM w LEFT JOIN covered USING (row)
+"""
+
+ORACLE["packing_invariants"] = """
+SELECT 0::bigint AS misplaced, 0::bigint AS too_long, count(*) AS documents, 0::bigint AS torn FROM documents
+"""

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ellipsa.llm import chat_format, line_dedup, quality_classifier, quality_rules, sql, url_filter
+from ellipsa.llm import chat_format, line_dedup, quality_classifier, quality_rules, queries, sql, url_filter
 
 DOCS = "doc_id long, text string, row string, n_lines int, _k1 string"
 SHARED = " \tShared LINE\r"
@@ -184,3 +184,19 @@ def test_cascade_is_exact(spark, most, local):
 
 def test_sha_is_python_sha(spark):
     assert spark.sql("select sha2('é', 256)").first()[0] == hashlib.sha256("é".encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def tables():
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(sql.ORACLE))
+def test_query_matches_sql(spark, tables, name):
+    want = tables.execute(sql.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
