@@ -1,6 +1,7 @@
 """A supervised text classifier of averaged subword embeddings.
 
-A document is the mean of the vectors of its hashed words and character n-grams; a softmax layer over the mean gives the score. Vectors
+A document is the mean of the vectors of its hashed words and character n-grams, and of one that stands for a word that is the same as the word
+before it, whatever the word; a softmax layer over the mean gives the score. Vectors
 and layer are trained together by stochastic gradient descent in numpy on a bounded labelled sample. With two
 classes the trained model is one number per bucket, so a word's part of the score is computed once and
 remembered, and scoring a text is one sum over its words.
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ from .ngrams import hashed
 #: The most labelled documents that the model is trained on, and the most distinct buckets of theirs together: 8 bytes each.
 MAX_LABELLED, MAX_BUCKETS = 2000, 16 << 20
 BITS, LOW, HIGH = 16, 2, 4
+#: The bucket of a repeated word.
+AGAIN = 1 << BITS
 DIM, EPOCHS, RATE = 8, 6, 0.8
 #: Steps at least, so that a small sample is gone through more often.
 STEPS = 6000
@@ -37,18 +42,28 @@ class Model:
     bias: float
 
 
+def _again(words: list[str]) -> int:
+    """Words that are the same as the one before."""
+    return sum(map(eq, words, islice(words, 1, None)))
+
+
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct buckets of a text and how often it has each."""
-    words, times = np.unique(np.array((text or "").split(), dtype=object), return_counts=True) if (text or "").split() else (np.empty(0, object), np.empty(0, np.int64))
+    listed = (text or "").split()
+    if not listed:
+        return np.empty(0, np.int64), np.empty(0)
+    words, times = np.unique(np.array(listed, dtype=object), return_counts=True)
     ids, at = hashed(words.tolist(), LOW, HIGH, BITS)
-    found, where = np.unique(ids, return_inverse=True)
-    return found, np.bincount(where, times[at], len(found)) if len(found) else np.empty(0)
+    counts = np.bincount(ids, times[at], AGAIN + 1)
+    counts[AGAIN] = _again(listed)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model:
     """One pass of gradient steps per epoch in a shuffled order, with a rate that falls to zero. No rows give a model that scores 0.5."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim))
+    vectors = rng.uniform(-1 / dim, 1 / dim, (AGAIN + 1, dim))
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
     rows = [(i, c / c.sum(), y) for (i, c), y in zip(bags, labels, strict=True) if len(i)]
     epochs = max(epochs, -(-STEPS // max(1, len(rows)))) if rows else 0
@@ -115,13 +130,14 @@ def _scores(model: Model, texts: list[str | None], known: dict[str, complex]) ->
             values = np.bincount(at, model.weights[ids], len(some)) + 1j * np.bincount(at, minlength=len(some))
             known.update(zip(some, values.tolist(), strict=True))
     get = known.__getitem__
-    sums = np.array([sum(map(get, words)) for words in split], complex)
+    again = complex(model.weights[AGAIN], 1)
+    sums = np.array([sum(map(get, words)) + again * _again(words) for words in split], complex)
     x = model.bias + sums.real / np.maximum(sums.imag, 1)
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
 def _scored(docs: DataFrame, model: Model, text_col: str, threshold: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 2 ** BITS numbers
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 2 ** BITS + 1 numbers
     key = hash((float(model.weights.sum()), model.bias))
 
     @F.arrow_udf("double")

@@ -295,7 +295,8 @@ def features_brute(text, bits):
                     h = (h ^ p) * 0x100000001B3 & m64
                 out.append(mix(h + n & m64) >> 64 - bits)
         out.append(mix(mix(sum((p + 1) * mix(i) for i, p in enumerate(points)) & m64)) >> 64 - bits)
-    return out
+    words = text.split()
+    return out + [1 << bits for a, b in zip(words, words[1:], strict=False) if a == b]
 
 
 def test_classifier_against_a_plain_version():
@@ -304,11 +305,11 @@ def test_classifier_against_a_plain_version():
     bits, dim = quality_classifier.BITS, 4
     bags = [quality_classifier.bag(t) for t in texts]
     for t, (ids, counts) in zip(texts, bags, strict=True):
-        plain = np.bincount(features_brute(t, bits), minlength=1 << bits) if t else np.zeros(1 << bits)
+        plain = np.bincount(features_brute(t, bits), minlength=(1 << bits) + 1) if t else np.zeros((1 << bits) + 1)
         assert (np.flatnonzero(plain) == ids).all() and (plain[ids] == counts).all()
     model = quality_classifier.train(bags, labels, dim=dim, epochs=1, rate=0.5, seed=3)
     rng = np.random.default_rng(3)
-    vectors, layer, bias = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)), np.zeros((dim, 2)), np.zeros(2)
+    vectors, layer, bias = rng.uniform(-1 / dim, 1 / dim, ((1 << bits) + 1, dim)), np.zeros((dim, 2)), np.zeros(2)
     rows = [(features_brute(t, bits), y) for t, y in zip(texts, labels, strict=True) if t]
     epochs, step = -(-quality_classifier.STEPS // len(rows)), 0
     for _ in range(epochs):
