@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +27,6 @@ def squared_norm(a: Column) -> Column:
     return total(F.transform(a, lambda x: x * x))
 
 
-def constant(rows: Sequence[Sequence[float]]) -> Column:
-    """A small table of vectors as one constant."""
-    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
-
-
 def uniform(key: Column, seed: int | str) -> Column:
     """U[0, 1) from the key and a seed by md5: the same number in every run and every partitioning."""
     text = F.concat(F.lit(f"{seed}:"), key.cast("string"))

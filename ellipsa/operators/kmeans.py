@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ellipsa.functions.vectors import constant, squared_distance, uniform
+from ellipsa.functions.vectors import squared_distance, uniform
 
 from .dataset import column_statistics, from_array, rows_by_hash
 from .partials import lists, matrix, merged, slot, spread, tasks_of
@@ -78,9 +78,20 @@ def cluster_totals(df: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def error_of(df: DataFrame, centroids: np.ndarray, label: str) -> DataFrame:
-    """mse: the mean squared distance to the centroid that the column ``label`` names."""
-    there = F.get(constant(centroids), F.col(label))
-    return df.agg(F.avg(squared_distance(F.col("features"), there)).alias("mse"))
+    """mse: the mean squared distance to the centroid that the column ``label`` names. Rows without a label don't count."""
+    there = _centroid_each(df.where(F.col(label).isNotNull()).select("features", F.col(label).cast("int").alias("k")), centroids)
+    return there.agg(F.avg(squared_distance(F.col("features"), F.col("centroid"))).alias("mse"))
+
+
+def _centroid_each(df: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``df`` with the centroid that its column k, the last one, names."""
+    sent = df.sparkSession.sparkContext.broadcast(centroids)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists(sent.value[batch.columns[-1].to_numpy()])], [*batch.schema.names, "centroid"])
+
+    return df.mapInArrow(part, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", centroid array<double>")
 
 
 def centroid_distances(centroids: np.ndarray) -> list[tuple[int, int, float]]:
@@ -99,13 +110,26 @@ def rows_of_cluster(assigned: DataFrame, cluster: int) -> DataFrame:
 
 
 def group_means(df: DataFrame, label: str) -> DataFrame:
-    """label, pos, mean."""
-    return df.select(label, F.posexplode("features").alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("mean"))
+    """label, pos, mean for each whole number in the column ``label``; rows without one don't count. A task emits a row per label and batch."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                k, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+                order = np.argsort(k, kind="stable")
+                found, first, n = np.unique(k[order], return_index=True, return_counts=True)
+                columns = [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), slot())), pa.array(n.astype(float)), lists(np.add.reduceat(x[order], first, axis=0))]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "slot", "n", "s"])
+
+    known = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("k"), "features")
+    sums = merged(known.mapInArrow(part, "k int, slot long, n double, s array<double>"), ("n",), ("s",))
+    return sums.select(F.col("k").alias(label), "n", F.posexplode("s").alias("pos", "x")).select(label, "pos", (F.col("x") / F.col("n")).alias("mean"))
 
 
 def quantized(df: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Each row's vector replaced by its centroid."""
-    return assign(df, centroids).select("row_id", "cluster", F.get(constant(centroids), F.col("cluster")).alias("features"))
+    found = _centroid_each(assign(df.select("row_id", "features"), centroids).select("row_id", "cluster"), centroids)
+    return found.select("row_id", "cluster", F.col("centroid").alias("features"))
 
 
 def sorted_centroids(centroids: np.ndarray) -> np.ndarray:
