@@ -36,9 +36,9 @@ LATIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\xff]*").fullmatch
 AFTER_WORD = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])[.,;:!?*#$%&]+(?=\\s|$)")
 #: Length classes, exact lengths that are used instead where there are no more, and documents of a pattern at most.
 CLASSES, EXACT, PATTERN = 64, 24, 4
-#: Settings that are tried; the plan of fewest sequences counts. Each: the shortest length of a pattern, as a share of a sequence (shorter pieces close
+#: Settings that are tried until one reaches the least possible number; the plan of fewest sequences counts. Each: the shortest length of a pattern, as a share of a sequence (shorter pieces close
 #: sequences), and for each round of fitting the share of a sequence that a pattern may leave open.
-SETTINGS = ((1 / 3, (0.0, 0.0)), (1 / 16, (0.0, 0.0, 0.0, 0.0, 0.002, 0.005, 0.01, 0.02, 0.03)), (1 / 16, (0.0, 0.0, 0.002)))
+SETTINGS = ((1 / 16, (0.0, 0.0, 0.002)), (1 / 3, (0.0, 0.0)), (1 / 16, (0.0, 0.0, 0.0, 0.0, 0.002, 0.005, 0.01, 0.02, 0.03)))
 #: Rows of a length that one window sorts, about.
 BUCKET = 2048
 
