@@ -29,7 +29,7 @@ ORDERINGS, TRIED, DIMS, CURVE_BITS = 16, (2, 4, 8, 16), 15, 4
 #: Rows on each side of a query on a curve, at least.
 WINDOW = 512
 #: Queries of the fitting sample, and the share of their neighbours that windows must hold.
-SAMPLE, RECALL = 64, 0.96
+SAMPLE, RECALL = 128, 0.94
 #: Rows of a range partition, about; rows of a block at least and at most: what a task holds.
 RANGE_ROWS, BLOCK = 50_000, (4096, 65536)
 #: Queries of one pass of the exhaustive search, and lengths of vectors in one table.
