@@ -24,7 +24,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    judged = url_filter.judge_urls(pages.select("page_id", "url"), url_filter.thin_hosts(pages))
+    judged = url_filter.judge_urls(pages.select("page_id", "url"), url_filter.thin_addresses(pages))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -23,12 +23,12 @@ WITH parts AS MATERIALIZED (
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
+addressed AS MATERIALIZED (SELECT *, host || CASE path WHEN '' THEN '/' ELSE path END AS address FROM parts),
 thin AS MATERIALIZED (
-  SELECT host AS key FROM parts WHERE host <> '' GROUP BY host HAVING sum(length(coalesce(html, ''))) < {THIN_CHARS} * count(*)),
+  SELECT DISTINCT address AS key FROM addressed WHERE host <> '' AND length(coalesce(html, '')) < {THIN_CHARS}),
 fitted AS (
-  SELECT *, CASE {_fits} END AS fit,
-    EXISTS (SELECT 1 FROM thin WHERE parts.host = key OR ends_with(parts.host, '.' || key)) AS listed
-  FROM parts)
+  SELECT *, CASE {_fits} END AS fit, address IN (SELECT key FROM thin) AS listed
+  FROM addressed)
 SELECT page_id, host, path, regexp_replace(fit, '^[a-z]+ ', '') AS rule,
   CASE WHEN fit IS NOT NULL THEN split_part(fit, ' ', 1) WHEN listed THEN 'block' ELSE 'allow' END AS verdict
 FROM fitted

@@ -1,4 +1,4 @@
-"""URL verdicts from path rules and a Bloom filter cascade over host keys.
+"""URL verdicts from path rules and a Bloom filter cascade over the keys of hosts and addresses.
 
 A cascade is a list of Bloom filters. The first encodes the listed keys, the second those
 unlisted keys of the universe that the first lets through, the third those listed keys that the
@@ -27,8 +27,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: A host whose pages have fewer characters of HTML than this on average is blocked by content.
-THIN_CHARS = 3000
+#: An address of a page of fewer characters of HTML is listed.
+THIN_CHARS = 1500
 #: Bytes of one cascade that may be broadcast; a larger key list is split into shards.
 MAX_BYTES = 64 << 20
 #: Key sets up to this many rows finish on the driver: 16 bytes each.
@@ -234,21 +234,27 @@ def _under(host: Column, domain: str) -> Column:
     return (host == domain) | host.endswith(f".{domain}")
 
 
-def thin_hosts(pages: DataFrame, least: int = THIN_CHARS, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """key: the hosts whose pages have fewer than ``least`` characters of HTML on average; null HTML has none, empty hosts are left out.
+def address_of(host: Column, path: Column) -> Column:
+    """Host and path as one key, ``/`` for an empty path; it has a slash, which host keys don't."""
+    return F.concat(host, F.when(path == "", "/").otherwise(path))
 
-    One row per task and host is shuffled, so a host that has a third of all pages is no heavier than others.
+
+def thin_addresses(pages: DataFrame, least: int = THIN_CHARS, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """key: the addresses at which a page has fewer than ``least`` characters of HTML; null HTML has none, empty hosts are left out.
+
+    One row per task and address is shuffled, so an address of very many pages is no heavier than others.
     """
-    sizes = pages.select(host_of(F.col(f"`{url_col}`")).alias("key"), F.length(F.coalesce(F.col(f"`{html_col}`"), F.lit(""))).cast("long").alias("chars"))
-    return sizes.where("key != ''").groupBy("key").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).where(F.col("chars") < least * F.col("n")).select("key")
+    host, path = host_of(F.col(f"`{url_col}`")), path_of(F.col(f"`{url_col}`"))
+    thin = pages.where((host != "") & (F.length(F.coalesce(F.col(f"`{html_col}`"), F.lit(""))) < least))
+    return thin.select(address_of(host, path).alias("key")).distinct()
 
 
 def judge_urls(pages: DataFrame, blocked: DataFrame | Sequence[str], rules: Iterable[tuple[str, str, str]] = RULES, url_col: str = "url", **build) -> DataFrame:
     """``pages`` with host, path, rule and verdict; columns of these names are replaced.
 
-    The longest rule that fits decides; else a host is blocked if it or a parent domain is among
+    The longest rule that fits decides; else a page is blocked if its host, a parent domain or its address (``address_of``) is among
     ``blocked`` (a sequence, or a table with a column key, of any size), judged by a cascade over all
-    host keys of ``pages``. Null urls and urls without ``://`` have an empty host and path, fit no rule and are
+    such keys of ``pages``. Null urls and urls without ``://`` have an empty host and path, fit no rule and are
     allowed. Of equally long rules the first in text order wins. Repeated rows are judged alike; an empty table gives an empty
     table.
     """
@@ -259,9 +265,13 @@ def judge_urls(pages: DataFrame, blocked: DataFrame | Sequence[str], rules: Iter
     if not blocked.columns == ["key"]:
         blocked = blocked.select("key")
     parts = boxed(pages, {"url": url_col}).select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    address = F.when(F.col("host") != "", address_of(F.col("host"), F.col("path")))
     universe = parts.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
-    shards = build_shards(universe, blocked.select(lower_az(F.col("key")).alias("key")), **build)
-    judged = listed_any(parts.withColumn("keys", suffixes(F.col("host"))), "keys", "listed", shards)
+    universe = universe.unionByName(parts.select(address.alias("key")).where("key is not null").distinct())
+    lower = F.concat(lower_az(F.substring_index("key", "/", 1)), F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"))  # of an address, the host alone
+    shards = build_shards(universe, blocked.select(lower.alias("key")), **build)
+    keys = F.concat(suffixes(F.col("host")), F.array_compact(F.array(address)))
+    judged = listed_any(parts.withColumn("keys", keys), "keys", "listed", shards)
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("listed"), "block").otherwise("allow")
     for action, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), [-ord(x) for x in r[1] + r[2]])):
         fits = _under(F.col("host"), host) & F.col("path").startswith(path)

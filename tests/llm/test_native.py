@@ -166,9 +166,14 @@ def test_urls(spark):
     assert (same.rule, same.verdict) == ("a.b/c", "allow")  # of equally long rules the first in text order
 
 
-def test_thin_hosts(spark):
-    pages = spark.createDataFrame([("x://A.b/1", "1234"), ("x://a.b/2", "12"), ("x://c.d", "123"), ("x://e.f", None), ("x://e.f", "1"), (None, ""), ("none", "")], "url string, html string")
-    assert sorted(r.key for r in url_filter.thin_hosts(pages, 3).collect()) == ["e.f"] and sorted(r.key for r in url_filter.thin_hosts(pages, 4).collect()) == ["a.b", "c.d", "e.f"]
+def test_thin_addresses(spark):
+    pages = spark.createDataFrame([("x://A.b/1?q", "1234"), ("x://a.b/1#f", "12"), ("x://c.d", "123"), ("x://e.f/", None), ("x://e.f/G", "12345"), (None, ""), ("none", "")], "url string, html string")
+    assert sorted(r.key for r in url_filter.thin_addresses(pages, 3).collect()) == ["a.b/1", "e.f/"]
+    assert sorted(r.key for r in url_filter.thin_addresses(pages, 4).collect()) == ["a.b/1", "c.d/", "e.f/"]
+    out = url_filter.judge_urls(pages, url_filter.thin_addresses(pages, 4), ()).collect()
+    assert [r.verdict for r in sorted(out, key=lambda r: str(r.url))] == ["allow", "allow", "block", "block", "block", "block", "allow"]
+    listed = url_filter.judge_urls(pages, ["E.F/G", "d", "A.B/1/2"], ()).where("verdict = 'block'")
+    assert sorted(r.url for r in listed.collect()) == ["x://c.d", "x://e.f/G"]
 
 
 @pytest.mark.parametrize(("most", "local"), [(64 << 20, 1 << 16), (64 << 20, 0), (400, 50)])
