@@ -243,6 +243,19 @@ def test_neighbours(spark):
     assert [r.vec_id for r in other] == [*range(2001, 2011), 2099, 2101, 2098, 2102, *range(2097, 2091, -1)]
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 1.0), ("sf0.1", 0.9)])
+def test_recall_of_the_curves(spark, sf, least):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id")
+    x = np.array([r.embedding for r in rows.collect()], float)
+    found = {(r.query_id, r.vec_id) for r in ann.nearest(rows).collect()}
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += sum((q, int(i)) in found for i in np.argsort(d)[:10])
+    assert hits >= least * 10 * len(range(0, len(x), 100))
+
+
 def test_places_on_curves(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(i, rng.standard_normal(5).tolist()) for i in range(700)], "rid long, vector array<double>").repartition(9)
