@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, sole_tables
 
 #: Unicode white space, as the pattern's \s has it.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -99,6 +99,9 @@ class ByteBpe:
         self.chunks, self.pieces = Known(MAX_KNOWN), Known(MAX_KNOWN)
         self.words: dict[str, int] = {"proposed": 0, "merged": 0}
 
+    def clear(self) -> None:
+        self.chunks, self.pieces = Known(MAX_KNOWN), Known(MAX_KNOWN)
+
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and token of the merge of each pair; the rank is ``_NEVER`` where there is none."""
         key = a * self.size + b
@@ -299,6 +302,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = load(path)
+        sole_tables("bpe", tool.clear)
         for batch in batches:
             for piece in by_bytes(batch, 1, 2 << 20):
                 encoded = tool.encode_batch(piece.column(1).to_pylist())

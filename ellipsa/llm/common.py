@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ellipsa.session import materialise, read_table, shared_dir
 
-__all__ = ["LOWER", "SPACES", "UPPER", "boxed", "bucket_below", "by_bytes", "crc_mod", "lower_az", "materialise", "one_text_each", "read_table", "row_key", "shared_dir", "strip_ascii", "unboxed", "words_of"]
+__all__ = ["LOWER", "SPACES", "UPPER", "boxed", "bucket_below", "by_bytes", "crc_mod", "lower_az", "materialise", "one_text_each", "read_table", "row_key", "shared_dir", "sole_tables", "strip_ascii", "unboxed", "words_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -69,6 +69,17 @@ def unboxed(df: DataFrame, like: DataFrame, made: Sequence[str], replaced: dict[
     return df.select(*old, *made)
 
 
+#: How to empty the tables of the tool that this worker process ran last.
+_holder: dict[str, Callable[[], None]] = {}
+
+
+def sole_tables(name: str, clear: Callable[[], None]) -> None:
+    """Called by a tool that remembers words: worker processes outlive stages, so what another tool has remembered is let go first."""
+    for other in [x for x in _holder if x != name]:
+        _holder.pop(other)()
+    _holder[name] = clear
+
+
 def by_bytes(batch, column: int, most: int = 4 << 20):
     """Slices of an Arrow record batch whose texts hold about ``most`` bytes each; a longer text is a slice of its own."""
     sizes = np.asarray(batch.column(column).fill_null("").cast("binary").to_numpy(zero_copy_only=False), dtype=object)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, bucket_below, by_bytes, crc_mod, unboxed
+from .common import boxed, bucket_below, by_bytes, crc_mod, sole_tables, unboxed
 from .ngrams import hashed
 
 #: First code points of script ranges, in ascending order; a range ends where the next begins.
@@ -205,6 +205,7 @@ def _judge(sent, key: int):
 
     @F.arrow_udf(kind)
     def judge(text: pa.Array) -> pa.Array:
+        sole_tables("languages", _known.clear)
         if key not in _known:
             _known.clear()
             _known[key] = Labeller(Model(*sent.value))

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import boxed, by_bytes, materialise, unboxed
+from .common import boxed, by_bytes, materialise, sole_tables, unboxed
 
 MAX_LEN = 4096
 #: Added after each document.
 END_ID = 1
 #: Chunks of a worker's table; at the bound a new one begins, which takes from the old one what is met again.
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 500_000
 #: Texts of Latin-1 characters, which are composed and where lower-casing goes character by character, without controls that some take for
 #: white space; marks that end a chunk after a letter.
 LATIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\xff]*").fullmatch
@@ -59,6 +59,9 @@ class ChunkTokenizer:
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        self.chunks, self.older = {}, {}
+
     def _encode(self, listed: list[str]) -> None:
         """Chunks go to the library many at a time, parted by an added token, at which the library cuts before all else."""
         other = [c for c in listed if any(a in c for a in self.added)] if self.added else listed
@@ -108,6 +111,7 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tool, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
+        sole_tables("packing", tool.clear)
         for batch in batches:
             for some in by_bytes(batch, 1, 2 << 20):
                 rows, cuts = [], []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, by_bytes, crc_mod, materialise, one_text_each, unboxed
+from .common import boxed, by_bytes, crc_mod, materialise, one_text_each, sole_tables, unboxed
 from .ngrams import hashed
 
 #: The most labelled documents that the model is trained on, and the most distinct buckets of theirs together: 8 bytes each.
@@ -142,6 +142,7 @@ def _scored(docs: DataFrame, model: Model, text_col: str, threshold: float) -> D
 
     @F.arrow_udf("double")
     def judge(text: pa.Array) -> pa.Array:
+        sole_tables("classifier", _known.clear)
         if key not in _known:
             _known.clear()
             _known[key] = (Model(*sent.value), {})
