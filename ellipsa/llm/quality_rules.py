@@ -188,8 +188,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & (crc_mod(F.col("doc_id"), folds) != 0))
     sample = known.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     joined = one_text_each(docs, F.broadcast(sample))
-    got = text_statistics(joined).select("doc_id", "_label", *COUNTS).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # ``most`` rows at most
-    return [(feature_row(r.asDict()), r["_label"]) for r in got]
+    got = text_statistics(joined).select(F.xxhash64("doc_id").alias("_hash"), "_label", *COUNTS).collect()  # ``most`` rows at most
+    return [(feature_row(r.asDict()), r["_label"]) for r in sorted(got, key=lambda r: tuple(r))]
 
 
 def _judged(docs: DataFrame, rules: Sequence[Rule], text_col: str) -> DataFrame:
