@@ -29,10 +29,13 @@ def header(df: DataFrame) -> DataFrame:
 
 
 def column_statistics(df: DataFrame) -> DataFrame:
-    """pos (from 0), mean, std, variance (sample), min and max of each column: five numbers a column from each task, merged in a tree.
+    """pos (from 0), mean, std, variance (sample), min and max of each column: six numbers a column from each task, merged in a tree.
 
-    Means and squared deviations of parts are combined without cancellation. An empty table gives no rows; one row has no variance.
+    The mean is that of SQL: values are added one row after the other, sums of tasks in a fixed order, and divided once, so a mean whose rounding is a tie
+    falls as SQL's does if one task holds the table. Squared deviations of parts are combined without cancellation, about means of their own. An empty table gives no
+    rows; one row has no variance.
     """
+    arrays = ("total", "mean", "m2", "low", "high")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = None
@@ -40,25 +43,28 @@ def column_statistics(df: DataFrame) -> DataFrame:
             if batch.num_rows:
                 x = matrix(batch.column(0))
                 mean = x.mean(axis=0)
-                own = {"n": np.array([float(len(x))]), "mean": mean[None], "m2": ((x - mean) ** 2).sum(axis=0)[None], "low": x.min(axis=0)[None], "high": x.max(axis=0)[None]}
+                before = np.zeros((1, x.shape[1])) if found is None else found["total"]
+                total = np.cumsum(np.concatenate([before, x]), axis=0)[-1:]  # one row after the other, unlike sum()
+                own = {"n": np.array([float(len(x))]), "total": total, "mean": mean[None], "m2": ((x - mean) ** 2).sum(axis=0)[None], "low": x.min(axis=0)[None], "high": x.max(axis=0)[None]}
                 found = own if found is None else {c: np.asarray(v)[None] for c, v in _combined({c: np.concatenate([found[c], own[c]]) for c in own}).items()}
+                found["total"] = total
         if found is not None:
-            columns = [pa.array(np.zeros(1, np.int32)), pa.array([slot()]), pa.array(found["n"]), *[lists(found[c]) for c in ("mean", "m2", "low", "high")]]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "slot", "n", "mean", "m2", "low", "high"])
+            columns = [pa.array(np.zeros(1, np.int32)), pa.array([slot()]), pa.array(found["n"]), *[lists(found[c]) for c in arrays]]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "slot", "n", *arrays])
 
-    kind = "k int, slot long, n double, mean array<double>, m2 array<double>, low array<double>, high array<double>"
-    total = merged(df.select("features").mapInArrow(part, kind), ("n",), ("mean", "m2", "low", "high"), merge=_combined)
-    each = total.select("n", F.posexplode(F.arrays_zip("mean", "m2", "low", "high")).alias("pos", "c"))
+    kind = ", ".join(["k int, slot long, n double", *[f"{c} array<double>" for c in arrays]])
+    total = merged(df.select("features").mapInArrow(part, kind), ("n",), arrays, merge=_combined)
+    each = total.select("n", F.posexplode(F.arrays_zip("total", "m2", "low", "high")).alias("pos", "c"))
     variance = F.when(F.col("n") > 1, F.col("c.m2") / (F.col("n") - 1))
-    return each.select("pos", F.col("c.mean").alias("mean"), F.sqrt(variance).alias("std"), variance.alias("variance"), F.col("c.low").alias("min"), F.col("c.high").alias("max"))
+    return each.select("pos", (F.col("c.total") / F.col("n")).alias("mean"), F.sqrt(variance).alias("std"), variance.alias("variance"), F.col("c.low").alias("min"), F.col("c.high").alias("max"))
 
 
 def _combined(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Statistics of all parts: squared deviations about the common mean."""
+    """Statistics of all parts: sums in their order, squared deviations about the common mean."""
     n = c["n"].sum()
     mean = (c["n"][:, None] * c["mean"]).sum(axis=0) / n
     m2 = c["m2"].sum(axis=0) + (c["n"][:, None] * (c["mean"] - mean) ** 2).sum(axis=0)
-    return {"n": n, "mean": mean, "m2": m2, "low": c["low"].min(axis=0), "high": c["high"].max(axis=0)}
+    return {"n": n, "total": np.cumsum(c["total"], axis=0)[-1], "mean": mean, "m2": m2, "low": c["low"].min(axis=0), "high": c["high"].max(axis=0)}
 
 
 def covariance_trace(df: DataFrame) -> DataFrame:

@@ -120,6 +120,22 @@ def test_statistics_edges(spark):
     assert dataset.select_rows(one, [0] * 3000).count() == 3000
 
 
+def test_means_are_added_row_by_row_as_in_sql(spark):
+    x = np.random.default_rng(3).integers(0, 11, (25_000, 3)) / 100
+    got = [r["mean"] for r in dataset.column_statistics(dataset.from_array(spark, x).coalesce(1)).orderBy("pos").collect()]
+    assert got == [sum_in_order(x[:, k]) / len(x) for k in range(3)]
+    sf = "/root/testdata/sf0.01"  # where the mean discount is 0.0499185 exactly
+    want = duckdb.sql(ORACLE["lineitem_stats"].replace("FROM lineitem", f"FROM read_parquet('{sf}/lineitem.parquet')")).fetchall()
+    assert sorted(map(tuple, QUERIES["lineitem_stats"](spark, sf).collect())) == sorted(want)
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values.tolist():
+        total += v
+    return total
+
+
 def test_draws():
     u = np.array([kmeans.drawn(str(i)) for i in range(4000)])
     g = np.array([kmeans.normal(str(i), 5, 2) for i in range(4000)])
