@@ -24,6 +24,8 @@ from .ngrams import hashed
 
 #: The most labelled documents that the model is trained on, and the most distinct buckets of theirs together: 8 bytes each.
 MAX_LABELLED, MAX_BUCKETS = 2000, 16 << 20
+#: The buckets that the driver fetches at once, about; the bags of one document come together.
+FETCHED = 1 << 20
 BITS, LOW, HIGH = 16, 2, 4
 #: The bucket of a repeated word.
 AGAIN = 1 << BITS
@@ -65,12 +67,14 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (AGAIN + 1, dim))
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
-    rows = [(i, c / c.sum(), y) for (i, c), y in zip(bags, labels, strict=True) if len(i)]
+    rows = [(i, c, y) for (i, c), y in zip(bags, labels, strict=True) if len(i)]
     epochs = max(epochs, -(-STEPS // max(1, len(rows)))) if rows else 0
     step, steps = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            ids, share, y = rows[k]
+            ids, counts, y = rows[k]
+            share = counts.astype(np.float64)  # made for each step, as all of them at once are larger than the bags
+            share /= share.sum()
             mean = share @ vectors[ids]
             out = mean @ layer + bias
             p = np.exp(out - out.max())
@@ -88,7 +92,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int
 def labelled_bags(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, most: int = MAX_LABELLED, buckets: int = MAX_BUCKETS) -> tuple[list, list]:
     """Bags and labels of at most ``most`` documents whose crc32(doc_id as text) mod ``folds`` isn't 0: the labels of least id hash.
 
-    They come in order of that hash, and end before their distinct buckets are more than ``buckets`` in all, so what the driver holds is bounded.
+    They come in order of that hash, and end before their distinct buckets are more than ``buckets`` in all, so what the driver holds is bounded: 8 bytes
+    for each, fetched ``FETCHED`` at a time, as the driver's JVM has each part several times over while it passes through.
     A document labelled both ways counts as 0; null ids and labels are ignored. Of rows with one id the text of least content hash counts.
     Whole texts are used; null and empty ones give empty bags. Other columns are ignored. Empty tables give no rows.
     """
@@ -107,9 +112,27 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     bags = materialise(rows.mapInArrow(part, f"doc_id {kind}, label int, ids array<int>, counts array<float>").withColumn("h", F.xxhash64("doc_id")), "bags")
     sizes = bags.select("h", "doc_id", F.size("ids").alias("n")).orderBy("h", "doc_id").collect()  # ``most`` rows at most
     fits = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), buckets, side="right")) if sizes else 0
-    found = bags.orderBy("h", "doc_id").limit(fits).toArrow()
-    pairs = [(i.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)) for i, c in zip(found["ids"], found["counts"], strict=True)]
-    return pairs, found["label"].to_pylist()
+    pairs: list = []
+    given: list = []
+    for some in _parts(sizes[:fits]):
+        part_of = bags.where(F.col("h").between(some[0]["h"], some[-1]["h"])).orderBy("h", "doc_id").limit(len(some)).toArrow()
+        pairs += [(i.values.to_numpy(), c.values.to_numpy()) for i, c in zip(part_of["ids"], part_of["counts"], strict=True)]
+        given += part_of["label"].to_pylist()
+    return pairs, given
+
+
+def _parts(sizes: list) -> Iterator[list]:
+    """Runs of rows (h, n) of about ``FETCHED`` in all, cut where h changes."""
+    run: list = []
+    total = 0
+    for r in sizes:
+        if run and total + r["n"] > FETCHED and r["h"] != run[-1]["h"]:
+            yield run
+            run, total = [], 0
+        run.append(r)
+        total += r["n"]
+    if run:
+        yield run
 
 
 _known: dict[int, tuple[Model, dict[str, complex]]] = {}

@@ -312,6 +312,28 @@ def features_brute(text, bits):
     return out + [1 << bits for a, b in zip(words, words[1:], strict=False) if a == b]
 
 
+def test_driver_fetches_bags_in_small_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(60)] + [(60, None)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    whole = quality_classifier.labelled_bags(docs, labels)
+    fetched = []
+    own = type(docs).toArrow
+
+    def counted(df):
+        fetched.append(own(df))
+        return fetched[-1]
+
+    monkeypatch.setattr(type(docs), "toArrow", counted)
+    monkeypatch.setattr(quality_classifier, "FETCHED", 1000, raising=False)
+    bags, given = quality_classifier.labelled_bags(docs, labels)
+    assert given == whole[1] and all((a == b).all() for x, y in zip(bags, whole[0], strict=True) for a, b in zip(x, y, strict=True))
+    sizes = [len(i) for i, _ in bags]
+    assert sum(i.nbytes + c.nbytes for i, c in bags) == 8 * sum(sizes)
+    assert all(sum(map(len, t["ids"].to_pylist())) <= max(1000, *sizes) for t in fetched) and len(fetched) > 3
+    texts = {bytes(i.astype(np.int64)): c for i, c in (quality_classifier.bag(r.text) for r in docs.collect())}
+    assert all((texts[bytes(i.astype(np.int64))] == c).all() for i, c in bags)
+
+
 def test_classifier_against_a_plain_version():
     """Features, training steps and scores, each without the tricks of the operator."""
     texts, labels = ["good text here", "bad bad words é🙂", "", "text of words", "a"], [1, 0, 1, 1, 0]
