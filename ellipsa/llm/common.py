@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from threading import RLock, Timer
 
-import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ellipsa.session import materialise, read_table, shared_dir
 
-__all__ = ["LOWER", "SPACES", "UPPER", "boxed", "bucket_below", "by_bytes", "crc_mod", "lower_az", "materialise", "one_text_each", "read_table", "row_key", "shared_dir", "sole_tables", "strip_ascii", "unboxed", "words_of"]
+__all__ = ["LOWER", "SPACES", "UPPER", "boxed", "bucket_below", "by_bytes", "crc_mod", "lower_az", "materialise", "one_text_each", "read_table", "release", "row_key", "shared_dir", "sole_tables", "strip_ascii", "unboxed", "using_tables", "words_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -75,17 +79,60 @@ _holder: dict[str, Callable[[], None]] = {}
 
 def sole_tables(name: str, clear: Callable[[], None]) -> None:
     """Called by a tool that remembers words: worker processes outlive stages, so what another tool has remembered is let go first."""
-    for other in [x for x in _holder if x != name]:
-        _holder.pop(other)()
+    others = [_holder.pop(x, None) for x in list(_holder) if x != name]
+    for let_go in filter(None, others):
+        let_go()
+    if others:
+        release()
     _holder[name] = clear
 
 
+#: Seconds after which a tool that no task uses lets its tables go.
+IDLE_S = 2.0
+_lock = RLock()
+_users = 0
+_timer: Timer | None = None
+
+
+@contextmanager
+def using_tables(name: str, clear: Callable[[], None]) -> Iterator[None]:
+    """``sole_tables`` for a task or a batch; if no other follows for ``IDLE_S``, the tables go too, as an idle worker would hold them through stages of the JVM alone."""
+    global _users, _timer
+
+    def let_go() -> None:
+        with _lock:
+            if not _users and (held := _holder.pop(name, None)):
+                held()
+                release()
+
+    with _lock:
+        _users += 1
+        if _timer:
+            _timer.cancel()
+        sole_tables(name, clear)
+    try:
+        yield
+    finally:
+        with _lock:
+            _users -= 1
+            _timer = Timer(IDLE_S, let_go)
+            _timer.daemon = True
+            _timer.start()
+
+
+def release() -> None:
+    """What Arrow and the C library hold unused in this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def by_bytes(batch, column: int, most: int = 4 << 20):
     """Slices of an Arrow record batch whose texts hold about ``most`` bytes each; a longer text is a slice of its own."""
-    sizes = np.asarray(batch.column(column).fill_null("").cast("binary").to_numpy(zero_copy_only=False), dtype=object)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()  # no text is copied
     total, first = 0, 0
-    for i, text in enumerate(sizes):
-        total += len(text) + 64
+    for i, size in enumerate(sizes):
+        total += size + 64
         if total >= most:
             yield batch.slice(first, i + 1 - first)
             total, first = 0, i + 1

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import boxed, by_bytes, materialise, sole_tables, unboxed
+from .common import boxed, by_bytes, materialise, release, unboxed, using_tables
 
 MAX_LEN = 4096
 #: Added after each document.
@@ -111,22 +111,23 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tool, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
-        sole_tables("packing", tool.clear)
-        for batch in batches:
-            for some in by_bytes(batch, 1, 2 << 20):
-                rows, cuts = [], []
-                for i, ids in enumerate(tool(some.column(1).to_pylist())):
-                    ids += end
-                    for n, at in enumerate(range(0, len(ids), 4 * max_len)):
-                        cut = ids[at : at + 4 * max_len]
-                        rows.append((i, n, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                        cuts.append(cut)
-                at, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                out = [some.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
-                if with_ids:
-                    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cuts), "<u4").astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
+        with using_tables("packing", tool.clear):
+            for batch in batches:
+                for some in by_bytes(batch, 1, 2 << 20):
+                    rows, cuts = [], []
+                    for i, ids in enumerate(tool(some.column(1).to_pylist())):
+                        ids += end
+                        for n, at in enumerate(range(0, len(ids), 4 * max_len)):
+                            cut = ids[at : at + 4 * max_len]
+                            rows.append((i, n, at // 4, len(cut) // 4, zlib.crc32(cut)))
+                            cuts.append(cut)
+                    at, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+                    out = [some.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+                    if with_ids:
+                        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cuts), "<u4").astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
+                release()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -324,7 +325,9 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     for row in rows.groupBy("length").count().collect():  # max_len rows at most
         counts[row["length"]] = row["count"]
     places = _places(plan_packing(counts, max_len))
-    table = spark.createDataFrame(places, "of long, lo long, hi long, times long, sequence long, at long")
+    # by Arrow, as rows of Python objects would go through Python workers of their own, which stay beside those that tokenize
+    names = ["of", "lo", "hi", "times", "sequence", "at"]
+    table = spark.createDataFrame(pa.table([pa.array([p[i] for p in places], pa.int64()) for i in range(len(names))], names=names))
     buckets = int(-(-counts.sum() // BUCKET)) or 1
     spread = rows.withColumn("bucket", F.floor(F.col("slot") * buckets / (1 << 30)).cast("long"))
     ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("slot")) - 1)

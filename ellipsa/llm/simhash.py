@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import boxed, by_bytes, materialise, row_key, unboxed
+from .common import boxed, by_bytes, materialise, release, row_key, sole_tables, unboxed
 
 MAX_BITS = 2
 #: Postings that two fingerprints within ``MAX_BITS`` share at least.
@@ -58,10 +58,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): one row per row of ``docs``, the fingerprint as a signed long."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_tables("simhash", lambda: None)  # it has none, and needs none of another tool
         for batch in batches:
             for piece in by_bytes(batch, 1):
                 found = np.array([fingerprint(t) for t in piece.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            release()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(part, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")

@@ -1,10 +1,13 @@
 """SimHash, BPE, packing, neighbours, classifier, languages and the pipeline against brute force."""
 
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -12,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ellipsa.llm import ann, bpe, language_id, packing, quality_classifier, simhash
+from ellipsa.llm import ann, bpe, common, language_id, packing, quality_classifier, simhash
 from ellipsa.llm.common import crc_mod
 
 DATA = "/root/testdata/sf0.001"
@@ -167,6 +170,44 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0), WORD).count() == 0
 
 
+def test_plan_of_packing_starts_no_python_workers(spark):
+    packed = packing.pack(spark.range(5).selectExpr("id doc_id", "0 piece", "100 + id length"))
+    assert "ExistingRDD" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert check_places([(r.sequence_id, r.offset, r.length) for r in packed.collect()]) == 1
+
+
+def test_slices_copy_no_texts():
+    texts = [None, "", "\u00e9" * 900, *["x" * 1000] * 20_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    sizes = [s.num_rows for s in common.by_bytes(batch, 0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == len(texts) and len(sizes) == 6 and peak < 4 << 20
+
+
+def test_idle_workers_hold_no_tables(monkeypatch):
+    monkeypatch.setattr(common, "IDLE_S", 0.2, raising=False)
+    monkeypatch.setattr(common, "_holder", {})
+    table, other = {"a": 1}, {"b": 2}
+    with common.using_tables("one", table.clear):
+        with common.using_tables("one", table.clear):
+            pass
+        time.sleep(0.6)
+        assert table  # a task is using it
+    with common.using_tables("one", table.clear):  # the next task comes in time
+        assert table
+    time.sleep(0.8)
+    assert not table and not common._holder
+    table["a"] = 1
+    with common.using_tables("one", table.clear):
+        pass
+    common.sole_tables("two", other.clear)
+    assert not table
+    time.sleep(0.6)
+    assert other and list(common._holder) == ["two"]  # of another tool that takes no part in it
+
+
 def check_places(places):
     at = {}
     for s, offset, n in sorted(places):
