@@ -113,7 +113,7 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
         tool, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
         with using_tables("packing", tool.clear):
             for batch in batches:
-                for some in by_bytes(batch, 1, 2 << 20):
+                for some in by_bytes(batch, 1, 1 << 19):
                     rows, cuts = [], []
                     for i, ids in enumerate(tool(some.column(1).to_pylist())):
                         ids += end

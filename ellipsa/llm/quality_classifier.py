@@ -147,8 +147,8 @@ def _scores(model: Model, texts: list[str | None], known: dict[str, complex]) ->
             known.clear()
             new = seen
         listed = list(new)
-        for k in range(0, len(listed), 1 << 15):
-            some = listed[k : k + (1 << 15)]
+        for k in range(0, len(listed), 1 << 13):
+            some = listed[k : k + (1 << 13)]
             ids, at = hashed(some, LOW, HIGH, BITS)
             values = np.bincount(at, model.weights[ids], len(some)) + 1j * np.bincount(at, minlength=len(some))
             known.update(zip(some, values.tolist(), strict=True))
@@ -170,7 +170,7 @@ def _scored(docs: DataFrame, model: Model, text_col: str, threshold: float) -> D
                 _known.clear()
                 _known[key] = (Model(*sent.value), {})
             batch = pa.RecordBatch.from_arrays([text], ["text"])
-            found = np.concatenate([_scores(_known[key][0], x.column(0).to_pylist(), _known[key][1]) for x in by_bytes(batch, 0)] or [np.empty(0)])
+            found = np.concatenate([_scores(_known[key][0], x.column(0).to_pylist(), _known[key][1]) for x in by_bytes(batch, 0, 2 << 20)] or [np.empty(0)])
         release()
         return pa.array(found)
 

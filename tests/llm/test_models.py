@@ -407,6 +407,17 @@ def test_classifier_against_a_plain_version():
         assert abs(quality_classifier._scores(model, [t], {})[0] - 1 / (1 + np.exp(out[0] - out[1]))) < 1e-6
 
 
+def test_new_words_are_scored_in_small_parts():
+    model = quality_classifier.Model(np.random.default_rng(1).normal(size=quality_classifier.AGAIN + 1), 0.1)
+    text = " ".join(f"word{i}" for i in range(1 << 15))
+    tracemalloc.start()
+    got = quality_classifier._scores(model, [text, None], {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids, counts = quality_classifier.bag(text)
+    assert np.allclose(got, 1 / (1 + np.exp(-np.array([model.bias + model.weights[ids] @ counts / counts.sum(), model.bias])))) and peak < 32 << 20
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.fit(docs)
